@@ -94,9 +94,10 @@ def bytes_of(df: DataFrame) -> int:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
-def small_or_shuffled(df: DataFrame) -> DataFrame:
-    """A materialised side: broadcast if its files are small (zstd files are taken to grow at most eightfold), else left to a shuffled join."""
-    return F.broadcast(df) if bytes_of(df) * 8 <= BROADCAST_BYTES else df
+def small_or_shuffled(df: DataFrame, *columns) -> DataFrame:
+    """These columns (all, if none are given) of a materialised side: broadcast if its files are small (zstd files are taken to grow at most eightfold), else left to a shuffled join."""
+    view = df.select(*columns) if columns else df
+    return F.broadcast(view) if bytes_of(df) * 8 <= BROADCAST_BYTES else view
 
 
 def np_components(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:

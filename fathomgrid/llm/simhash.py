@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, load, materialize, ship, small_or_shuffled
-from .textblocks import LOWER, blocks, word_spans
+from .textblocks import LOWER, blocks, joined, word_spans
 
 SEED = 42
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -37,24 +37,14 @@ def fingerprints_of(texts: pa.Array, shingle: int = 3) -> np.ndarray:
         starts, ends, text = word_spans(low, offsets)
         if not len(starts):
             continue
-        # the words joined by single spaces, so that a shingle is a slice
-        keep = np.zeros(len(low) + 1, np.int32)
-        np.add.at(keep, starts, 1)
-        np.add.at(keep, ends, -1)
-        inside = np.cumsum(keep[:-1]).astype(bool)
-        length = ends - starts
-        to = np.cumsum(length + 1) - 1
-        at = to - length
-        joined = np.full(int(to[-1]) + 1, 32, np.uint8)
-        joined[np.repeat(at - np.cumsum(length) + length, length) + np.arange(int(length.sum()))] = low[inside]
-        joined = joined.tobytes()
+        joined_words, at, to = joined(low, starts, ends)
         words = np.bincount(text, minlength=len(offsets) - 1)
         last = np.cumsum(words)
         first = last - words
         count = np.where(words >= shingle, words - shingle + 1, np.minimum(words, 1))
         begin = np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
         end = np.minimum(begin + shingle, np.repeat(last, count)) - 1
-        h = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(at[begin].tolist(), to[end].tolist())), np.uint64, len(begin))
+        h = np.fromiter((digest(joined_words[s:e], SEED) for s, e in zip(at[begin].tolist(), to[end].tolist())), np.uint64, len(begin))
         filled = np.flatnonzero(count)
         bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         cut = (np.cumsum(count) - count)[filled]

@@ -105,3 +105,21 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out += h[i : i + n] * p[i]
     return mix(out)
+
+
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words with one space after each, and where each begins and ends there."""
+    length = ends - starts
+    to = np.cumsum(length + 1) - 1
+    at = to - length
+    out = np.full(int(to[-1]) + 1 if len(to) else 0, 32, np.uint8)
+    total = int(length.sum())
+    step = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
+    out[np.repeat(at, length) + step] = data[np.repeat(starts, length) + step]
+    return out.tobytes(), at, to
+
+
+def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each maximal run of true."""
+    edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
