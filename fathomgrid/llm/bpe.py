@@ -37,17 +37,25 @@ def byte_alphabet() -> list[str]:
 
 
 class Words(dict):
-    """A bounded memo: fill(words) sees to it that all of them are in, made many at a time by make(words)."""
+    """A bounded memo of two generations: fill(lists of words) sees to it that all of them are in, made many at a time by make(words)."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
+        self.old: dict = {}
 
-    def fill(self, words) -> None:
-        new = [w for w in set(words) if w not in self]
-        if len(self) + len(new) > MEMO:
+    def fill(self, lists) -> None:
+        need = set().union(*lists)
+        if len(self) + len(need) > MEMO:  # what has been used since the last time stays at hand
+            self.old = dict(self)
             self.clear()
-            new = list(set(words))
+        new = []
+        for w in need:
+            if w not in self:
+                if w in self.old:
+                    self[w] = self.old[w]
+                else:
+                    new.append(w)
         self.update(zip(new, self.make(new)))
 
 
@@ -164,7 +172,7 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         cut = [[p if p in self.as_is else self.words(p) for p in (self.v.marks.split(t) if self.v.marks and "<|" in t else [t])] for t in texts]
-        self.memo.fill(w for parts in cut for p in parts if type(p) is list for w in p)
+        self.memo.fill([p for parts in cut for p in parts if type(p) is list])
         get = self.memo.__getitem__
         return [b"".join([b"".join(map(get, p)) if type(p) is list else self.as_is[p] for p in parts]) for parts in cut]
 
@@ -238,7 +246,7 @@ class Counter:
     def offsets(self, text: str, at: int) -> tuple[np.ndarray, np.ndarray]:
         """Where each pre-token of the chunk ends in the whole text, and its tokens."""
         words = self.words(text)
-        self.memo.fill(words)
+        self.memo.fill([words])
         ends = np.fromiter(map(len, words), np.int64, len(words)).cumsum() + at
         return ends, np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
 
@@ -276,7 +284,7 @@ class Counter:
         flat = [p for x in parts for p in x]
         counts = [1 if p in self.v.special else self.resynchronised(p) if len(p) > self.chunk else -1 for p in flat]
         words = {i: self.words(flat[i]) for i, n in enumerate(counts) if n < 0}
-        self.memo.fill(w for x in words.values() for w in x)
+        self.memo.fill(words.values())
         for i, x in words.items():
             counts[i] = sum(map(self.memo.__getitem__, x))
         stop = np.cumsum([0, *map(len, parts)])
