@@ -1,7 +1,7 @@
 """The queries of this subpackage, each over its whole table, and the SQL of those that SQL can express."""
 
-from . import bpe, mixing, ogg, simhash, substring
+from . import bpe, embeddings, mixing, ogg, simhash, substring
 
-MODULES = [simhash, bpe, mixing, ogg, substring]
+MODULES = [embeddings, simhash, bpe, mixing, ogg, substring]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
