@@ -48,7 +48,7 @@ def _starts(n: np.ndarray, first: np.ndarray, size: int, least: int) -> np.ndarr
     return np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
 
 
-def _unit_rows(ids, th, n, first, buckets: int):
+def unit_rows(ids, th, n, buckets: int):
     key = int(np.bitwise_xor.reduce(np.concatenate([th, ids * 31, n]) * np.int64(0x9E3779B1))) ^ (len(ids) << 40) ^ int(th[0])
     key = (key + (1 << 63)) % (1 << 64) - (1 << 63)
     return key, (key % buckets, key, 1, len(n), pack(ids), pack(th), pack(n.astype("<i8")))
@@ -58,7 +58,7 @@ def _probe(window: int, block: int, buckets: int):
     def run(batches):
         for b in batches:
             for _, ids, th, n, first, h in _units(b, window):
-                key, own = _unit_rows(ids, th, n, first, buckets)
+                key, own = unit_rows(ids, th, n, buckets)
                 at = _starts(n, first, block, window)
                 hb = window_hashes(h, block)[at]
                 aligned = (at - first[np.searchsorted(first, at, "right") - 1]) % block == 0
@@ -150,7 +150,7 @@ def _windows(window: int, buckets: int):
         for b in batches:
             spans = b.column("spans")
             for rows, ids, th, n, first, h in _units(b, window):
-                key, own = _unit_rows(ids, th, n, first, buckets)
+                key, own = unit_rows(ids, th, n, buckets)
                 at = []
                 for i in range(len(n)):
                     for s, e in np.frombuffer(spans[rows.start + i].as_py(), "<i4").reshape(-1, 2).tolist():
