@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: White space of every word rule here: space and the bytes 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows go to Python workers in batches of about this many bytes, unless the session asks for less.
+BATCH_BYTES = 8 << 20
 #: Above this many bytes a side is joined by a shuffle, not broadcast.
 BROADCAST_BYTES = 48 << 20
 
@@ -27,8 +29,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package's modules, once for each application."""
+    """Gives the executors this package's modules, once for each application, and bounds the bytes of Arrow batches."""
     sc = spark.sparkContext
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)

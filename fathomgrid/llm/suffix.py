@@ -32,7 +32,7 @@ from .substring import ARROW_SPANS, NO_ID, SPANS, _answers, _spans, own_row, uni
 from .textblocks import BASE, BYTE, U, blocks, mix, powers
 
 UNIT = 4 << 20
-PIECE = 8 << 20
+PIECE = 1 << 20
 PLACE_BITS = 24
 FOUND = "id long, th long, spans binary, wanted binary"
 ARROW_FOUND = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("spans", pa.binary()), ("wanted", pa.binary())])
@@ -103,13 +103,20 @@ def _pieces(batch: pa.RecordBatch):
 
 
 def _anchored(data, offsets, length, gram):
-    if len(data) <= PIECE:
-        return anchors(data, offsets, length, gram)
-    found = []  # one long text: windows are dealt to pieces, none is lost or seen twice
-    for at in range(0, len(data) - length + 1, PIECE - length + 1):
-        part = data[at : at + PIECE]
-        lo, *rest = anchors(part, np.array([0, len(part)]), length, gram)
-        found.append((lo + at, *rest))
+    """anchors() over a unit in runs of whole texts of about PIECE bytes; a longer text in pieces that overlap, so that no window is lost or seen twice."""
+    found, at = [], 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
+        s, e = int(offsets[at]), int(offsets[to])
+        if e - s <= 2 * PIECE:
+            lo, *rest = anchors(data[s:e], offsets[at : to + 1] - s, length, gram)
+            found.append((lo + s, *rest))
+        else:
+            for i in range(s, e - length + 1, PIECE - length + 1):
+                part = data[i : min(i + PIECE, e)]
+                lo, *rest = anchors(part, np.array([0, len(part)]), length, gram)
+                found.append((lo + i, *rest))
+        at = to
     return tuple(map(np.concatenate, zip(*found)))
 
 
