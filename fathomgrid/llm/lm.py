@@ -124,7 +124,7 @@ def _mapped(folder: str, name: str) -> np.ndarray:
     return _open[key]
 
 
-def _bigrams(folder: str, buckets: int):
+def _bigrams(folder: str, buckets: int, word_buckets: int):
     def run(group: pa.Table) -> pa.Table:
         """Adds up a bucket's bigrams, writes them, and sends on sums by context and by word."""
         bucket = group.column("bucket")[0].as_py()
@@ -138,9 +138,9 @@ def _bigrams(folder: str, buckets: int):
         v, total, n1, n2, n3 = summed(v, count, (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count >= 3).astype(np.int64))
         w, follows, times = summed(w, one, count)
         out = [(-1 - s, s0, None, None, None, None, None) for s, s0 in enumerate([int((count == k).sum()) for k in (1, 2, 3, 4)])]
-        for k, s in parts(bucket_of(v, buckets)):
+        for k, s in parts(bucket_of(v, word_buckets)):
             out.append((2 * k, s.stop - s.start, pack(v[s]), pack(total[s]), pack(n1[s]), pack(n2[s]), pack(n3[s])))
-        for k, s in parts(bucket_of(w, buckets)):
+        for k, s in parts(bucket_of(w, word_buckets)):
             out.append((2 * k + 1, s.stop - s.start, pack(w[s]), pack(follows[s]), pack(times[s]), None, None))
         return pa.Table.from_batches([_rows(out)], ARROW_ROW)
 
@@ -185,12 +185,13 @@ class Model:
 
     folder: str
     buckets: int
+    word_buckets: int
     stats: dict
 
     def look(self, kind: str, h: np.ndarray, columns: int) -> list[np.ndarray]:
         """The columns of each hash, 0 where it is not in the model. h: sorted."""
         out = [np.zeros(len(h), np.int64) for _ in range(columns)]
-        for k, s in parts(bucket_of(h, self.buckets)):
+        for k, s in parts(bucket_of(h, self.buckets if kind == "bigram" else self.word_buckets)):
             keys = _mapped(self.folder, f"{kind}-{k}")
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, h[s]), len(keys) - 1)
@@ -230,11 +231,12 @@ def fit(texts: DataFrame, text: str = "text") -> Model:
     spark = texts.sparkSession
     ship(spark)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    word_buckets = -(-buckets // 8)  # words are far fewer than bigrams; each bucket of bigrams sends two rows to each
     folder = new_shared_path(spark, "lm")
     run, kinds = _words(folder)
-    counted = texts.select(F.col(text).alias("text")).mapInArrow(_count(buckets), ROW).groupBy("bucket").applyInArrow(_bigrams(folder, buckets), ROW)
+    counted = texts.select(F.col(text).alias("text")).mapInArrow(_count(buckets), ROW).groupBy("bucket").applyInArrow(_bigrams(folder, buckets, word_buckets), ROW)
     stats = counted.groupBy("bucket").applyInArrow(run, kinds).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STATS)).first()
-    return Model(folder, buckets, stats.asDict())
+    return Model(folder, buckets, word_buckets, stats.asDict())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
