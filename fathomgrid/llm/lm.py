@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load, new_shared_path, ship
-from .exchange import pack, parts, unpack_all
+from .exchange import pack, parts, unpack, unpack_all
 from .textblocks import LOWER, U, blocks, mix, word_hashes, word_spans
 
 UNIT = 4 << 20
-START, END = mix(np.array([1, 2], U) * U(0xD1B54A32D192ED03))
+#: Words are known by the upper 56 bits of their hashes; bigrams by all 64 of theirs.
+WORD_BITS = U((1 << 64) - 256)
+START, END = mix(np.array([1, 2], U) * U(0xD1B54A32D192ED03)) & WORD_BITS
 COLUMNS = ["bucket", "n", "a", "b", "c", "d", "e"]
 ROW = "bucket long, n long, a binary, b binary, c binary, d binary, e binary"
 ARROW_ROW = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in "abcde")])
@@ -54,7 +56,7 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     n = np.bincount(text, minlength=len(offsets) - 1)
     stop = np.cumsum(n + 1)
     token = np.full(int(stop[-1]), END, U)
-    token[np.arange(len(starts)) + text] = word_hashes(low, starts, ends)
+    token[np.arange(len(starts)) + text] = word_hashes(low, starts, ends) & WORD_BITS
     before = np.empty_like(token)
     before[1:] = token[:-1]
     before[stop - n - 1] = START
@@ -88,11 +90,22 @@ def _count(buckets: int):
                 # inside a bucket by context, which packs well
                 by = np.lexsort((w, v, bucket))
                 v, w, count, bucket = v[by], w[by], count[by].astype("<u4"), bucket[by]
-                yield _rows([(k, s.stop - s.start, pack(v[s]), pack(w[s]), pack(count[s]), None, None) for k, s in parts(bucket)])
+                yield _rows([(k, s.stop - s.start, *_coded(v[s], w[s]), pack(count[s])) for k, s in parts(bucket)])
 
     return run
 
 
+def _coded(v: np.ndarray, w: np.ndarray) -> tuple[bytes, ...]:
+    """Bigrams sorted by context: each context once with its run, each word once and its number at each place."""
+    cut = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    words, number = np.unique(w, return_inverse=True)
+    return pack(v[cut]), pack(np.diff(np.concatenate([cut, [len(v)]])).astype("<u4")), pack(words), pack(number.astype("<u4"))
+
+
+def _decoded(contexts: bytes, runs: bytes, words: bytes, number: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(unpack(contexts, "<u8"), unpack(runs, "<u4")), unpack(words, "<u8")[unpack(number, "<u4")]
+
+
 def _save(folder: str, name: str, x: np.ndarray) -> None:
     """Writes an array under a name that is there whole or not at all; a repeated task writes the same again."""
     if x.dtype != np.dtype("<u8"):
@@ -128,7 +141,9 @@ def _bigrams(folder: str, buckets: int, word_buckets: int):
     def run(group: pa.Table) -> pa.Table:
         """Adds up a bucket's bigrams, writes them, and sends on sums by context and by word."""
         bucket = group.column("bucket")[0].as_py()
-        v, w, count = (unpack_all(group.column(c).to_pylist(), t) for c, t in (("a", "<u8"), ("b", "<u8"), ("c", "<u4")))
+        pairs = [_decoded(*(group.column(c)[i].as_py() for c in "abcd")) for i in range(group.num_rows)]
+        v, w = (np.concatenate(x) for x in zip(*pairs))
+        count = unpack_all(group.column("e").to_pylist(), "<u4")
         h, place = np.unique(bigram_hash(v, w), return_index=True)
         _, count = summed(bigram_hash(v, w), count.astype(np.int64))
         v, w = v[place], w[place]
