@@ -23,8 +23,9 @@ from .common import connected_components, load, materialize, np_components, ship
 
 TILE = 2048
 GRID_DIMS = 3
-PLACED = "id long, m long, b int, cell long, home boolean, v binary"
-ARROW_PLACED = pa.schema([("id", pa.int64()), ("m", pa.int64()), ("b", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_()), ("v", pa.binary())])
+PLACED = "id long, b int, cell long, home boolean"
+ARROW_PLACED = pa.schema([("id", pa.int64()), ("b", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_())])
+PACKED = "id long, m long, v binary"
 FOUND = "u long, v long, n long"
 ARROW_FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
@@ -81,18 +82,36 @@ def _place(d: int, t: float, size: int):
     def run(batches):
         b = Blocks(d, t, size)
         for batch in batches:
-            ids, m = batch.column("id").to_numpy(), batch.column("m").to_numpy()
-            flat = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            x = flat.reshape(-1, d)
-            raw = [r.tobytes() for r in x]
+            ids = batch.column("id").to_numpy()
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
             y = rotated(units(x), b.q)
             for k in range(len(b.slices)):
                 row, cell, home = b.cells(y, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(m[row]), pa.array(np.full(len(row), k, np.int32)), pa.array(cell), pa.array(home), pa.array([raw[i] for i in row], pa.binary())], schema=ARROW_PLACED)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(np.full(len(row), k, np.int32)), pa.array(cell), pa.array(home)], schema=ARROW_PLACED)
 
     return run
 
 
+def _pack(d: int):
+    """Vectors as bytes: of single precision where that is exact."""
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            single = x.astype(np.float32)
+            exact = (single == x).all(1)
+            v = [s.tobytes() if e else r.tobytes() for s, r, e in zip(single, x, exact)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("m"), pa.array(v, pa.binary())], ["id", "m", "v"])
+
+    return run
+
+
+def _unpack(v: list[bytes], d: int) -> np.ndarray:
+    if all(len(b) == 4 * d for b in v):
+        return np.frombuffer(b"".join(v), np.float32).reshape(-1, d).astype(np.float64)
+    return np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * d else np.float64).astype(np.float64) for b in v])
+
+
 def _tile(d: int, t: float, size: int):
     def run(group: pa.Table) -> pa.Table:
         """Links between the tile's home rows and its other side, of smaller to larger id: counts for each vector and a forest."""
@@ -100,7 +119,7 @@ def _tile(d: int, t: float, size: int):
         k = group.column("b")[0].as_py()
         ids, m = group.column("id").to_numpy(), group.column("m").to_numpy()
         left = group.column("left").to_numpy(zero_copy_only=False)
-        x = units(np.frombuffer(b"".join(group.column("v").to_pylist()), np.float64).reshape(-1, d))
+        x = units(_unpack(group.column("v").to_pylist(), d))
         parts = b.slices[: k + 1]
         y = rotated(x, b.q[:, : parts[-1].stop])
         one, two = np.flatnonzero(left), np.flatnonzero(~left)
@@ -159,16 +178,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block_dims: int =
     found = None
     for (d,) in distinct.select(F.size("x")).distinct().collect():  # lengths of vectors: one, or a few
         same = distinct.filter(F.size("x") == d).select(F.col("h").alias("id"), "m", "x")
-        placed = same.mapInArrow(_place(d, threshold, min(block_dims, d)), PLACED)
-        placed = materialize(placed, "placed")
+        placed = materialize(same.select("id", "x").mapInArrow(_place(d, threshold, min(block_dims, d)), PLACED), "placed")
+        packed = materialize(same.mapInArrow(_pack(d), PACKED), "packed")
         size = placed.groupBy("b", "cell").agg(F.count("*").alias("n"), F.count(F.when(F.col("home"), 1)).alias("nh")).filter("nh > 0 and n > 1")
         both = placed.join(size, ["b", "cell"])
         salt = F.abs(F.hash("id"))
         both = both.withColumn("rows", F.ceil(F.col("nh") / TILE).cast("int")).withColumn("columns", F.ceil(F.col("n") / TILE).cast("int"))
         left = both.filter("home").withColumn("r", F.pmod(salt, "rows")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).withColumn("left", F.lit(True))
         right = both.withColumn("c", F.pmod(salt, "columns")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("left", F.lit(False))
-        columns = ["id", "m", "b", "cell", "r", "c", "left", "v"]
+        columns = ["id", "b", "cell", "r", "c", "left"]
         tiles = left.select(*columns).unionByName(right.select(*columns))
+        tiles = tiles.join(small_or_shuffled(packed), "id")
         part = tiles.groupBy("b", "cell", "r", "c").applyInArrow(_tile(d, threshold, min(block_dims, d)), FOUND)
         found = part if found is None else found.unionByName(part)
     if found is None:
