@@ -48,7 +48,8 @@ class FFT(LinOp):
 
     def _run(self, x: Tensor, inverse: bool) -> Tensor:
         over, sizes = self.over, [self.ishape[d] for d in self.over]
-        others = [d for d in x.dims if d not in over]
+        dims = x.dims
+        others = [d for d in dims if d not in over]
         index = np.indices(sizes).reshape(len(sizes), -1)
 
         def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -57,12 +58,12 @@ class FFT(LinOp):
             axes = tuple(range(len(sizes)))
             f = np.fft.ifftn if inverse else np.fft.fftn
             a = np.fft.fftshift(f(np.fft.ifftshift(a, axes), axes=axes, norm="ortho"), axes).ravel()
-            out = pd.DataFrame({d: np.full(len(a), p[d].iloc[0], np.int32) for d in others} | {d: i.astype(np.int32) for d, i in zip(over, index)})
+            out = pd.DataFrame({d: np.full(len(a), p[d].iloc[0]) for d in others} | {d: i.astype(np.int32) for d, i in zip(over, index)})
             out["re"], out["im"] = a.real, a.imag
-            return out[[*x.dims, "re", "im"]]
+            return out[[*dims, "re", "im"]]
 
-        kinds = ", ".join([*(f"{d} int" for d in x.dims), "re double", "im double"])
-        keyed = x.df.select(*(F.col(d).cast("int").alias(d) for d in x.dims), "re", "im")
+        kinds = ", ".join([*(f"{d} {x.df.schema[d].dataType.simpleString()}" for d in dims), "re double", "im double"])
+        keyed = x.df.select(*dims, "re", "im")
         return Tensor(keyed.groupBy(*others).applyInPandas(run, kinds), x.shape)
 
     def _forward(self, x):

@@ -159,6 +159,7 @@ class LocallyLowRank(Prox):
         cut = alpha * self.lam * (math.sqrt(m) + math.sqrt(n) + math.sqrt(math.log(max(count * min(m, n), 1))))
         others = [d for d in x.dims if d not in dims and d != across]
         keyed = x.df.select("*", *(F.floor(F.col(d) / p).cast("int").alias(f"_p{d}") for d in dims))
+        every = x.dims
 
         def run(f: pd.DataFrame) -> pd.DataFrame:
             row = np.zeros(len(f), np.int64)
@@ -169,7 +170,7 @@ class LocallyLowRank(Prox):
             u, s, v = np.linalg.svd(a, full_matrices=False)
             a = (u * np.maximum(s - cut, 0)) @ v
             y = a[row, f[across].to_numpy()]
-            return f[x.dims].assign(re=y.real, im=y.imag)
+            return f[every].assign(re=y.real, im=y.imag)
 
         kinds = ", ".join([*(f"{d} {x.df.schema[d].dataType.simpleString()}" for d in x.dims), "re double", "im double"])
         return Tensor(keyed.groupBy(*others, *(f"_p{d}" for d in dims)).applyInPandas(run, kinds), x.shape)

@@ -72,14 +72,14 @@ class Pad(LinOp):
         self.left = {d: (big[d] - n + 1) // 2 for d, n in small.items()}
 
     def _forward(self, x):
-        return Tensor(x.df.select(*((F.col(d) + self.left[d]).cast("int").alias(d) for d in x.dims), "re", "im"), self.oshape)
+        return Tensor(x.df.select(*((F.col(d) + self.left[d]).cast("int").alias(d) if self.ishape[d] != self.oshape[d] else F.col(d) for d in x.dims), "re", "im"), self.oshape)
 
     def _adjoint(self, y):
         df = y.df
         for d, n in self.ishape.items():
             if self.oshape[d] != n:
                 df = df.filter((F.col(d) >= self.left[d]) & (F.col(d) < self.left[d] + n))
-        return Tensor(df.select(*((F.col(d) - self.left[d]).cast("int").alias(d) for d in y.dims), "re", "im"), self.ishape)
+        return Tensor(df.select(*((F.col(d) - self.left[d]).cast("int").alias(d) if self.ishape[d] != self.oshape[d] else F.col(d) for d in y.dims), "re", "im"), self.ishape)
 
 
 class Crop(LinOp):
