@@ -24,7 +24,7 @@ from .common import load, materialize, ship, small_or_shuffled
 from .exchange import ARROW_ROW, ROW, bucket_of, pack, parts, table, unpack, unpack_all
 from .textblocks import blocks, joined, window_hashes, word_hashes, word_spans
 
-UNIT = 8 << 20
+UNIT = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 SPANS = "id long, th long, spans binary"
 ARROW_SPANS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("spans", pa.binary())])
@@ -63,9 +63,19 @@ def _probe(window: int, block: int, buckets: int):
                 hb = window_hashes(h, block)[at]
                 aligned = (at - first[np.searchsorted(first, at, "right") - 1]) % block == 0
                 order = np.argsort(hb)
-                bucket, rest = bucket_of(hb[order], buckets)
-                place = (at[order].astype("<u4") << np.uint32(1)) | aligned[order]
-                yield table([own, *((k, key, 0, s.stop - s.start, pack(rest[s]), pack(place[s]), None) for k, s in parts(bucket))])
+                hb, at, aligned = hb[order], at[order], aligned[order]
+                # what a unit repeats itself, on a reference block of its own, is answered here and goes on as one entry
+                cut = np.flatnonzero(np.concatenate([[True], hb[1:] != hb[:-1]])) if len(hb) else np.zeros(0, int)
+                size = np.diff(np.concatenate([cut, [len(hb)]]))
+                alike = (size > 1) & np.maximum.reduceat(aligned, cut) if len(cut) else np.zeros(0, bool)
+                many = np.repeat(alike, size)
+                known = np.sort(at[many]).astype("<u4")
+                send = ~many
+                send[cut[alike]] = True
+                aligned[cut[alike]] = True
+                bucket, rest = bucket_of(hb[send], buckets)
+                place = (at[send].astype("<u4") << np.uint32(1)) | aligned[send]
+                yield table([own, (key % buckets, key, 2, len(known), pack(known), None, None), *((k, key, 0, s.stop - s.start, pack(rest[s]), pack(place[s]), None) for k, s in parts(bucket))])
 
     return run
 
@@ -73,7 +83,7 @@ def _probe(window: int, block: int, buckets: int):
 def _shared(group: pa.Table) -> pa.Table:
     """Answers each unit with the places of its probes whose hash is a reference block and stands in another place too."""
     kind = group.column("kind").to_numpy()
-    own, probe = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
+    own, probe = np.flatnonzero(kind != 0), np.flatnonzero(kind == 0)
     out = [own_row(group, i) for i in own]
     if len(probe):
         rest = unpack_all([group.column("a")[int(i)].as_py() for i in probe], "<u4")
@@ -108,7 +118,7 @@ def _spans(before: int, after: int, shorter: int):
 
     def run(group: pa.Table) -> pa.Table:
         kind = group.column("kind").to_numpy()
-        own, said = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
+        own, said = np.flatnonzero(kind == 1), np.flatnonzero(kind != 1)
         if not len(own) or not len(said):
             return ARROW_SPANS.empty_table()
         own = int(own[0])
@@ -159,10 +169,15 @@ def _windows(window: int, buckets: int):
                 hw = window_hashes(h, window)[at]
                 order = np.argsort(hw)
                 hw, at = hw[order], at[order]
+                own_id = ids[np.searchsorted(first + n, at, "right")]
+                # windows that an earlier id of the same unit has too are answered here
+                cut = np.flatnonzero(np.concatenate([[True], hw[1:] != hw[:-1]])) if len(hw) else np.zeros(0, int)
+                least = np.repeat(np.minimum.reduceat(own_id, cut), np.diff(np.concatenate([cut, [len(hw)]]))) if len(cut) else own_id
+                late = own_id > least
+                known = np.sort(at[late]).astype("<u4")
+                hw, place, own_id = hw[~late], at[~late].astype("<u4"), own_id[~late]
                 bucket, _ = bucket_of(hw, buckets)
-                text = np.searchsorted(first + n, at, "right")
-                place = at.astype("<u4")
-                yield table([own, *((k, key, 0, s.stop - s.start, pack(hw[s]), pack(place[s]), pack(ids[text[s]])) for k, s in parts(bucket))])
+                yield table([own, (key % buckets, key, 2, len(known), pack(known), None, None), *((k, key, 0, s.stop - s.start, pack(hw[s]), pack(place[s]), pack(own_id[s])) for k, s in parts(bucket))])
 
     return run
 
@@ -170,7 +185,7 @@ def _windows(window: int, buckets: int):
 def _later(group: pa.Table) -> pa.Table:
     """Answers each unit with the places of its windows that stand in a text of a smaller id too."""
     kind = group.column("kind").to_numpy()
-    own, probe = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
+    own, probe = np.flatnonzero(kind != 0), np.flatnonzero(kind == 0)
     out = [own_row(group, i) for i in own]
     if len(probe):
         h, place, id = (unpack_all([group.column(c)[int(i)].as_py() for i in probe], t) for c, t in (("a", "<u8"), ("b", "<u4"), ("c", "<i8")))
