@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize, ship, small_or_shuffled
+from .common import load, materialize, others, ship, small_or_shuffled
 from .exchange import ARROW_ROW, ROW, pack, parts, table, unpack, unpack_all
 from .substring import ARROW_SPANS, NO_ID, SPANS, _answers, _spans, own_row, unit_rows
 from .textblocks import BASE, BYTE, U, blocks, mix, powers
@@ -91,7 +91,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     np.cumsum(BYTE[data] * powers(len(data)), out=prefix[1:])
     stop = end + length - 1
     content = mix((prefix[stop] - prefix[lo]) * powers(int(lo[-1]) + 1, INVERSE)[lo] + (end - lo).astype(U))
-    return lo, end - lo, h[at[lo]], content
+    # smallest hashes are small numbers: scrambled, they spread over the buckets
+    return lo, end - lo, mix(h[at[lo]]), content
 
 
 def _pieces(batch: pa.RecordBatch):
@@ -409,7 +410,7 @@ def _cut(rest: list[str], id: str, text: str):
     def run(batches):
         for b in batches:
             n, removed, count, digest, left, runs = [], [], [], [], [], []
-            for t, x in zip(b.column(text), b.column("spans")):
+            for t, x in zip(b.column(text), b.column("_fathomgrid_spans")):
                 own = (t.as_py() or "").encode()
                 pairs = np.frombuffer(x.as_py() or b"", "<i4").reshape(-1, 2)
                 kept, at, mine = [], 0, []
@@ -440,13 +441,13 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64, id
     Repeated rows are places of their own, so they lose what is long enough. Null ids are ids like others. Empty
     table: empty result.
     """
-    rest = [c for c in docs.columns if c != text]
+    rest = others(docs, text, "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256", "_kept", "_spans")
     s = materialize(repeated_bytes(docs, length, gram, id, text), "repeats")
-    s = small_or_shuffled(s, F.col("id").alias("_i"), F.col("th").alias("_t"), "spans")
-    both = docs.join(s, docs[id].cast("long").eqNullSafe(F.col("_i")) & (F.xxhash64(docs[text]) == F.col("_t")), "left")
+    s = small_or_shuffled(s, F.col("id").alias("_fathomgrid_i"), F.col("th").alias("_fathomgrid_t"), F.col("spans").alias("_fathomgrid_spans"))
+    both = docs.join(s, docs[id].cast("long").eqNullSafe(F.col("_fathomgrid_i")) & (F.xxhash64(docs[text]) == F.col("_fathomgrid_t")), "left")
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest]
     kinds += ["_n_bytes long", "_n_removed long", "_n_spans long", "_kept_sha256 string", "_kept binary", "_spans array<array<int>>"]
-    return both.select(*(docs[c] for c in rest), docs[text], "spans").mapInArrow(_cut(rest, id, text), ", ".join(kinds))
+    return both.select(*(docs[c] for c in rest), docs[text], "_fathomgrid_spans").mapInArrow(_cut(rest, id, text), ", ".join(kinds))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
