@@ -125,11 +125,15 @@ def _tile(d: int, t: float, size: int):
         one, two = np.flatnonzero(left), np.flatnonzero(~left)
         if not len(one) or not len(two):
             return ARROW_FOUND.empty_table()
+        # (u, -|u|^2 / 2, 1) . (v, 1, -|v|^2 / 2) is -d^2 / 2: one product and one comparison in single precision, with room for its error
         u, v = y[one][:, parts[k]], y[two][:, parts[k]]
-        near = (u * u).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * (u @ v.T) <= b.budget[k] + 1e-9
-        near &= ids[one][:, None] < ids[two][None]
-        i, j = np.nonzero(near)
-        i, j = one[i], two[j]
+        ones = np.ones((len(ids), 1))
+        u = np.hstack([u, -(u * u).sum(1, keepdims=True) / 2, ones[: len(u)]]).astype(np.float32)
+        v = np.hstack([v, ones[: len(v)], -(v * v).sum(1, keepdims=True) / 2]).astype(np.float32)
+        near = np.flatnonzero((u @ v.T).ravel() >= np.float32(-b.budget[k] / 2 - 1e-5))
+        i, j = one[near // len(two)], two[near % len(two)]
+        way = ids[i] < ids[j]
+        i, j = i[way], j[way]
         good = np.zeros(len(i), bool)
         for at in range(0, len(i), 1 << 16):
             p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
