@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, ship
+from .common import load, others, ship
 
 WHITE = "\t-\r "
 #: All letters from U+00C0 to U+0239, whose lower case stays in the range but for U+0130.
@@ -198,8 +198,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: bool
     repeated rows; an empty table an empty one. The ids and the decoded text are the library's, byte for byte.
     """
     ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text]
     more = ["_n_tokens", "_ids_sha256", "_decoded_sha256", *(["_ids", "_decoded"] if keep else [])]
+    rest = others(docs, text, *more)
 
     def run(batches):
         e = encoder(path)
@@ -299,7 +299,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", chunk: int = 32
     table an empty one.
     """
     ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text]
+    rest = others(docs, text, "_n_tokens")
 
     def run(batches):
         key = ("counter", path, chunk, overlap)

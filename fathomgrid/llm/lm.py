@@ -25,7 +25,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, new_shared_path, ship
+from .common import load, new_shared_path, others, ship
 from .exchange import pack, parts, unpack, unpack_all
 from .textblocks import LOWER, U, blocks, mix, word_hashes, word_spans
 
@@ -262,8 +262,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     no texts gives every token probability 1 at the base and 1 / (V + 1) = 1.
     """
     ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text]
     types = {"_n_tokens": "long", "_n_known": "long", "_train_tokens": "long", "_base_score": "double", "_score": "double", "_perplexity": "double"}
+    rest = others(docs, text, *types)
 
     def run(batches):
         for b in batches:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, load
+from .common import WORD, load, others
 
 WEIGHTS = (5, 2, 1)
 BIG = "decimal(38,0)"
@@ -59,6 +59,7 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, budg
     the seeded order go by size. Each source's repeated words differ from its target by half a document at most. The
     same rows give the same result, however they are dealt. Empty table: empty result.
     """
+    docs = docs.select(*others(docs, "_size", "_order", "_bucket", "_src", "_bkt", "_before", "_source_size", "_target", "_upto", "_whole", "_times", "_k"))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id).cast("string"), F.lit(""))))
     rows = docs.withColumn("_size", word_count(F.col(text))).withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, 3))
     sums = rows.groupBy(F.col(source).alias("source"), F.col("_bucket").alias("bucket")).agg(F.sum("_size").alias("words"))

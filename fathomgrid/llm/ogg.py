@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import load, ship
+from .common import load, others, ship
 
 CAPTURE = b"OggS"
 HEADER = struct.Struct("<4sBBqIIIB")
@@ -222,8 +222,8 @@ def store_documents(docs: DataFrame, text: str = "text", keep: bool = True) -> D
     repeated rows give repeated rows; an empty table an empty one. A file that does not read back raises.
     """
     ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text]
     types = {"_n_bytes": "long", "_payload_bytes": "long", "_payload_sha256": "string", "_tail_crc32": "long", "_media_bytes": "long", "_media_sha256": "string", "_feature": "string"} | ({"_media": "binary"} if keep else {})
+    rest = others(docs, text, *types)
     arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     def run(batches):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, load, materialize, ship, small_or_shuffled
+from .common import connected_components, load, materialize, others, ship, small_or_shuffled
 from .textblocks import LOWER, blocks, joined, word_spans
 
 SEED = 42
@@ -61,7 +61,7 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", shingle: int = 3,
     Null, empty and blank texts: zero.
     """
     ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text]
+    rest = others(docs, text, name)
 
     def run(batches):
         for b in batches:
@@ -160,8 +160,8 @@ def keep_one(docs: DataFrame, distance: int = 2, shingle: int = 3, id: str = "do
     Columns and their order are those of docs.
     """
     g = group_documents(docs, distance, shingle, id, text)
-    gone = g.filter(F.col(id) != F.col("component")).select(F.col(id).alias("gone")).distinct()
-    rest = docs.join(small_or_shuffled(materialize(gone, "gone")), docs[id] == F.col("gone"), "left_anti")
+    gone = g.filter(F.col(id) != F.col("component")).select(F.col(id).alias("_fathomgrid_gone")).distinct()
+    rest = docs.join(small_or_shuffled(materialize(gone, "gone")), docs[id] == F.col("_fathomgrid_gone"), "left_anti")
     return rest
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize, ship, small_or_shuffled
+from .common import load, materialize, others, ship, small_or_shuffled
 from .exchange import ARROW_ROW, ROW, bucket_of, pack, parts, table, unpack, unpack_all
 from .textblocks import blocks, joined, window_hashes, word_hashes, word_spans
 
@@ -221,7 +221,7 @@ def repeated_spans(docs: DataFrame, window: int = 13, id: str = "doc_id", text:
 def _cut(rest: list[str], id: str, text: str):
     def run(batches):
         for b in batches:
-            spans = b.column("spans")
+            spans = b.column("_fathomgrid_spans")
             texts = b.column(text)
             new, words, removed, digest = texts.to_pylist(), [], [], []
             for row, data, offsets in blocks(texts):
@@ -257,13 +257,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, id: str = "doc_id", text:
     are. The digest is of the kept words joined by one space. Null text: no words. Rows of one id keep what they share;
     null ids come last. Empty table: empty result.
     """
-    rest = [c for c in docs.columns if c != text]
+    more = ["_words", "_removed", "_kept_sha256", "_spans"]
+    rest = others(docs, text, *more)
     s = materialize(repeated_spans(docs, window, id, text), "repeats")
-    s = small_or_shuffled(s, F.col("id").alias("_i"), F.col("th").alias("_t"), "spans")
-    both = docs.join(s, docs[id].cast("long").eqNullSafe(F.col("_i")) & (F.xxhash64(docs[text]) == F.col("_t")), "left")
+    s = small_or_shuffled(s, F.col("id").alias("_fathomgrid_i"), F.col("th").alias("_fathomgrid_t"), F.col("spans").alias("_fathomgrid_spans"))
+    both = docs.join(s, docs[id].cast("long").eqNullSafe(F.col("_fathomgrid_i")) & (F.xxhash64(docs[text]) == F.col("_fathomgrid_t")), "left")
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest]
     kinds += [f"`{text}` string", "_words long", "_removed long", "_kept_sha256 string", "_spans array<array<int>>"]
-    return both.select(*(docs[c] for c in rest), docs[text], "spans").mapInArrow(_cut(rest, id, text), ", ".join(kinds)).select(*docs.columns, "_words", "_removed", "_kept_sha256", "_spans")
+    return both.select(*(docs[c] for c in rest), docs[text], "_fathomgrid_spans").mapInArrow(_cut(rest, id, text), ", ".join(kinds)).select(*others(docs, *more), *more)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize, ship, small_or_shuffled
+from .common import load, materialize, others, ship, small_or_shuffled
 from .textblocks import LOWER, blocks, window_hashes, word_hashes, word_spans
 
 WORD = re.compile(r"[^\W_]+")
@@ -241,8 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     ship(spark)
     known = labels.filter(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).alias("_i")).agg(F.max(label).cast("int").alias("y"))
     known = materialize(known.filter(~held_out(F.col("_i"))), "labels")
-    train = docs.join(small_or_shuffled(known), docs[id] == F.col("_i"))
-    train = train.select(docs[id].cast("long").alias("id"), docs[text].alias("text"), "y", F.xxhash64(docs[text]).alias("o"))
+    train = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("o")).join(small_or_shuffled(known), F.col("id") == F.col("_i")).drop("_i")
     rows, toxic = train.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not rows:
         return Model([], [], [], 0.0, 0.0, k)
@@ -278,6 +277,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", evidence: bool = Tr
     on; repeated rows give repeated rows; an empty table an empty one.
     """
     ship(docs.sparkSession)
+    docs = docs.select(*others(docs, "_score", *(["_evidence"] if evidence else [])))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
