@@ -80,19 +80,24 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a polynomial over random byte values, scrambled."""
-    if not len(starts):
-        return np.zeros(0, U)
-    n = len(data)
-    length = ends - starts
-    begin = np.zeros(n, np.int64)
-    begin[starts] = starts
-    inside = np.arange(n) - np.maximum.accumulate(begin)
-    value = BYTE[data]
-    value[SPACE[data]] = 0
-    value *= powers(int(max(inside.max(), length.max())) + 1)[inside]
-    return mix(np.add.reduceat(value, starts) + length.astype(U) * U(0xA24BAED4963EE407))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, run: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: a polynomial over random byte values, scrambled. Works through runs of words of about run bytes."""
+    out = np.empty(len(starts), U)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + run)))
+        s, e = starts[at:to] - starts[at], ends[at:to] - starts[at]
+        part = data[starts[at] : ends[to - 1]]
+        length = e - s
+        begin = np.zeros(len(part), np.int32)
+        begin[s] = s
+        inside = np.arange(len(part), dtype=np.int32) - np.maximum.accumulate(begin)
+        value = BYTE[part]
+        value[SPACE[part]] = 0
+        value *= powers(int(max(inside.max(), length.max())) + 1)[inside]
+        out[at:to] = mix(np.add.reduceat(value, s) + length.astype(U) * U(0xA24BAED4963EE407))
+        at = to
+    return out
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -166,7 +166,7 @@ class Model:
             return self.empty, []
         key = tuple(counts)
         if key not in self.memo:
-            if len(self.memo) > 50_000:
+            if len(self.memo) > 5_000:
                 self.memo.clear()
             near = self.index.nearest(self.unit(counts), self.k)
             votes = [(c / (1.05 - min(c, 1.0)), self.index.labels[e]) for e, c in near]
@@ -182,8 +182,8 @@ def held_out(id) -> F.Column:
 
 def _term_counts(batches):
     for b in batches:
-        for at in range(0, b.num_rows, 2000):
-            part = b.slice(at, 2000)
+        for at in range(0, b.num_rows, 500):
+            part = b.slice(at, 500)
             every, toxic = Counter(), Counter()
             for t, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist()):
                 own = terms_of(t or "")
