@@ -850,3 +850,79 @@ def traj_spiral(spark, d):
 def traj_phyllotaxis(spark, d):
     """G19."""
     return out(G.phyllotaxis(spark, 16, 2.0, 64, 3, 8), "sample", "trace", kx="kx", ky="ky", kz="kz")
+
+
+@query(f"SELECT CAST(b AS INT) AS b, CAST(b * 10 - 10 + t AS INT) AS sample, round(pow(sin({PI} * t / 20), 2), 6) + 0.0 AS v FROM range(5) AS r(b), range(20) AS s(t) WHERE b * 10 - 10 + t BETWEEN 0 AND 39")
+def time_windows(spark, d):
+    """Five overlapping squared-sine windows over 40 samples."""
+    from ..operators import recon
+
+    return out(recon.time_windows(spark, 5, 40), "b", "sample", v="v")
+
+
+@query(f"WITH {PAIRS} SELECT trace, x FROM (SELECT trace, x, row_number() OVER (PARTITION BY trace ORDER BY abs(im), x) AS n FROM pairs) WHERE n = 1")
+def autofocus(spark, d):
+    """The cell of the least imaginary part."""
+    from ..operators import recon
+
+    return recon.autofocus(pairs(spark, d), "x")
+
+
+@query(f"WITH {SAMPLES}, t AS (SELECT *, channel * 0.05e0 AS d FROM samples) SELECT event_id, round(v * cos(2 * {PI} * -kx * d), 6) + 0.0 AS re, round(v * sin(2 * {PI} * -kx * d), 6) + 0.0 AS im FROM t")
+def move_navigators(spark, d):
+    """Every channel's samples turned (here mirrored) and shifted by its own navigator."""
+    from ..operators import recon
+
+    s = samples(spark, d).select("event_id", F.col("channel").alias("trace"), "kx", F.col("v").alias("re"), F.lit(0.0).alias("im"))
+    navs = spark.range(8).select(F.col("id").cast("int").alias("nav"), F.lit(-1.0).alias("r00"), (F.col("id") * 0.05).alias("d0"))
+    return out(recon.move_by_navigator(s, navs, ["kx"], 1), "event_id", re="re", im="im")
+
+
+@query()
+def precon_events(spark, d):
+    """V1, V4: density weights of 200 samples."""
+    from ..operators import recon
+
+    p = _points(spark, d).filter("sample < 200").select("sample", "kx")
+    return out(recon.preconditioner(p, {"kx": "x"}, 32, {"sample": 201}).df, "sample", w="re")
+
+
+@query()
+def recon_rss_events(spark, d):
+    """Least squares for each channel, then the root of the sum of squares."""
+    from ..operators import recon
+
+    p = _points(spark, d).filter("sample < 2000")
+    op = fourier.ndft(p.select("sample", "kx"), {"kx": "x"}, 8, {"sample": 0}, {"channel": 8})
+    return out(recon.recon_rss(op, _data(p), iterations=2), "x", rss="v")
+
+
+@query()
+def resample_lines(spark, d):
+    """lines of 64 cells brought to 96 by padding their spectra."""
+    from ..operators import recon
+
+    return cells(recon.resample(lines(spark, d), {"x": 96}), "trace", "x")
+
+
+@query()
+def spline_lines(spark, d):
+    """Every fourth cell, interpolated between."""
+    from ..operators import recon
+
+    t = lines(spark, d).df.filter("x % 4 = 0").select("trace", F.col("x").cast("double").alias("x"), "re")
+    return out(recon.spline(t, "trace", "x", "re", [1.0, 2.0, 3.0, 30.5]), "trace", "at", v="v")
+
+
+@query()
+def decay_basis(spark, d):
+    """The four-vector basis of a table of decays; its projection's energy for each row."""
+    t = G.decay_table(spark, 16, 8, 0.01, 0.01, 0.5)
+    import numpy as np
+
+    a = np.zeros((16, 8))
+    for r in t.collect():  # a table of 128 cells
+        a[r.row, r.echo] = r.v
+    b = stats.svd_basis(spark, a, 4)
+    y = stats.apply_matrix(Tensor(t.select("row", "echo", F.col("v").alias("re"), F.lit(0.0).alias("im")), {"row": 16, "echo": 8}), "echo", b.conj())
+    return out(stats.rss(y, "echo"), "row", energy="v")
