@@ -14,7 +14,8 @@ is a stable merge of sorted runs, and only blocks of several rows take part. The
 common prefix; blocks still together at depth `length` are the repeated intervals.
 
 Scale: the work is linear in the texts' bytes for the anchors, and in the bytes of differing fragments for the
-transforms. Anchors are dealt by hash and equal ones collapse within each unit before the shuffle; no pairs are formed.
+transforms. Anchors are dealt by hash and equal ones collapse within each unit before the shuffle; no pairs are formed. Texts
+meet their fragments and spans by joins that shuffle at every size.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, materialize, others, ship, small_or_shuffled
+from .common import load, materialize, others, ship
 from .exchange import ARROW_ROW, ROW, pack, parts, table, unpack, unpack_all
 from .substring import ARROW_SPANS, NO_ID, SPANS, _answers, _spans, own_row, unit_rows
 from .textblocks import BASE, BYTE, U, blocks, mix, powers
@@ -398,7 +399,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64, id: str =
     said = own.mapInArrow(_anchor_rows(length, gram, buckets), ROW).groupBy("bucket").applyInArrow(_judge, ROW)
     found = said.groupBy("unit").applyInArrow(_by_text(length), FOUND)
     found = materialize(found.groupBy("id", "th").agg(F.expr(JOINED.format("spans")).alias("spans"), F.expr(JOINED.format("wanted")).alias("wanted")), "anchors")
-    w = small_or_shuffled(found, F.col("id").alias("i"), F.col("th").alias("t"), "wanted").filter("octet_length(wanted) > 0")
+    w = found.filter("octet_length(wanted) > 0").select(F.col("id").alias("i"), F.col("th").alias("t"), "wanted")
     texts = own.join(w, own.id.eqNullSafe(F.col("i")) & (own.th == F.col("t"))).select("id", "th", "text", "wanted")
     merged = texts.mapInArrow(_shards(length, buckets), ROW).groupBy("bucket").applyInArrow(_merge(length), ROW)
     more = merged.groupBy("unit").applyInArrow(_spans(0, length, 1), SPANS)
@@ -443,7 +444,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 64, id
     """
     rest = others(docs, text, "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256", "_kept", "_spans")
     s = materialize(repeated_bytes(docs, length, gram, id, text), "repeats")
-    s = small_or_shuffled(s, F.col("id").alias("_fathomgrid_i"), F.col("th").alias("_fathomgrid_t"), F.col("spans").alias("_fathomgrid_spans"))
+    s = s.select(F.col("id").alias("_fathomgrid_i"), F.col("th").alias("_fathomgrid_t"), F.col("spans").alias("_fathomgrid_spans"))
     both = docs.join(s, docs[id].cast("long").eqNullSafe(F.col("_fathomgrid_i")) & (F.xxhash64(docs[text]) == F.col("_fathomgrid_t")), "left")
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest]
     kinds += ["_n_bytes long", "_n_removed long", "_n_spans long", "_kept_sha256 string", "_kept binary", "_spans array<array<int>>"]
