@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,24 +47,34 @@ class FFT(LinOp):
         self.over = dims
 
     def _run(self, x: Tensor, inverse: bool) -> Tensor:
-        over, sizes = self.over, [self.ishape[d] for d in self.over]
-        dims = x.dims
+        over, sizes, dims = self.over, [self.ishape[d] for d in self.over], x.dims
         others = [d for d in dims if d not in over]
-        index = np.indices(sizes).reshape(len(sizes), -1)
-
-        def run(p: pd.DataFrame) -> pd.DataFrame:
-            a = np.zeros(sizes, complex)
-            np.add.at(a, tuple(p[d].to_numpy() for d in over), p.re.to_numpy() + 1j * p.im.to_numpy())
-            axes = tuple(range(len(sizes)))
-            f = np.fft.ifftn if inverse else np.fft.fftn
-            a = np.fft.fftshift(f(np.fft.ifftshift(a, axes), axes=axes, norm="ortho"), axes).ravel()
-            out = pd.DataFrame({d: np.full(len(a), p[d].iloc[0]) for d in others} | {d: i.astype(np.int32) for d, i in zip(over, index)})
-            out["re"], out["im"] = a.real, a.imag
-            return out[[*dims, "re", "im"]]
-
-        kinds = ", ".join([*(f"{d} {x.df.schema[d].dataType.simpleString()}" for d in dims), "re double", "im double"])
-        keyed = x.df.select(*dims, "re", "im")
-        return Tensor(keyed.groupBy(*others).applyInPandas(run, kinds), x.shape)
+        cells = math.prod(sizes)
+        index = np.indices(sizes).reshape(len(sizes), -1).astype(np.int32)
+        axes = tuple(range(1, len(sizes) + 1))
+
+        def run(batches):
+            for b in batches:
+                for at in range(0, b.num_rows, step := max(1, (1 << 18) // cells)):
+                    part = b.slice(at, step)
+                    n = part.num_rows
+                    lists = part.column("_z")
+                    line = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+                    k, re, im = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                    a = np.zeros((n, cells), complex)
+                    np.add.at(a, (line, k), re + 1j * im)
+                    f = np.fft.ifftn if inverse else np.fft.fftn
+                    a = np.fft.fftshift(f(np.fft.ifftshift(a.reshape(n, *sizes), axes), axes=axes, norm="ortho"), axes).ravel()
+                    rows = pa.array(np.repeat(np.arange(n), cells))
+                    made = {d: part.column(d).take(rows) for d in others} | {d: pa.array(np.tile(i, n)) for d, i in zip(over, index)}
+                    yield pa.RecordBatch.from_arrays([*(made[d] for d in dims), pa.array(a.real), pa.array(a.imag)], [*dims, "re", "im"])
+
+        flat = F.lit(0)
+        for d, n in zip(over, sizes):
+            flat = flat * n + F.col(d)
+        packed = x.df.groupBy(*others).agg(F.collect_list(F.struct(flat.cast("int").alias("k"), "re", "im")).alias("_z"))
+        kinds = ", ".join([*(f"{d} {'int' if d in over else x.df.schema[d].dataType.simpleString()}" for d in dims), "re double", "im double"])
+        return Tensor(packed.mapInArrow(run, kinds), x.shape)
 
     def _forward(self, x):
         return self._run(x, False)
