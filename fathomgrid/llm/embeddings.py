@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, load, materialize, np_components, ship, small_or_shuffled
 
-TILE = 2048
+#: Rows of a tile's side, and how many of them are compared at once.
+TILE = 8192
+STRIP = 512
 GRID_DIMS = 3
 PLACED = "id long, b int, cell long, home boolean"
 ARROW_PLACED = pa.schema([("id", pa.int64()), ("b", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_())])
@@ -121,31 +123,37 @@ def _tile(d: int, t: float, size: int):
         left = group.column("left").to_numpy(zero_copy_only=False)
         x = units(_unpack(group.column("v").to_pylist(), d))
         parts = b.slices[: k + 1]
-        y = rotated(x, b.q[:, : parts[-1].stop])
+        own = rotated(x, b.q[:, parts[k]])
         one, two = np.flatnonzero(left), np.flatnonzero(~left)
         if not len(one) or not len(two):
             return ARROW_FOUND.empty_table()
         # (u, -|u|^2 / 2, 1) . (v, 1, -|v|^2 / 2) is -d^2 / 2: one product and one comparison in single precision, with room for its error
-        u, v = y[one][:, parts[k]], y[two][:, parts[k]]
+        u, v = own[one], own[two]
         ones = np.ones((len(ids), 1))
         u = np.hstack([u, -(u * u).sum(1, keepdims=True) / 2, ones[: len(u)]]).astype(np.float32)
-        v = np.hstack([v, ones[: len(v)], -(v * v).sum(1, keepdims=True) / 2]).astype(np.float32)
-        near = np.flatnonzero((u @ v.T).ravel() >= np.float32(-b.budget[k] / 2 - 1e-5))
-        i, j = one[near // len(two)], two[near % len(two)]
-        way = ids[i] < ids[j]
-        i, j = i[way], j[way]
-        good = np.zeros(len(i), bool)
-        for at in range(0, len(i), 1 << 16):
-            p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            diff = y[p] - y[q]
-            diff *= diff
-            inside = [diff[:, s].sum(1) <= b.budget[n] for n, s in enumerate(parts)]
-            mine = inside[k]
-            for earlier in inside[:k]:
-                mine &= ~earlier
-            good[at : at + (1 << 16)] = mine & ((x[p] * x[q]).sum(1) >= t)
-        i, j = i[good], j[good]
-        count = np.bincount(i, weights=m[j], minlength=len(ids)) + np.bincount(j, weights=m[i], minlength=len(ids))
+        v = np.hstack([v, ones[: len(v)], -(v * v).sum(1, keepdims=True) / 2]).astype(np.float32).T.copy()
+        count = np.zeros(len(ids))
+        i = j = np.zeros(0, np.int64)  # the links so far, as a forest
+        for s in range(0, len(u), STRIP):
+            near = np.flatnonzero((u[s : s + STRIP] @ v).ravel() >= np.float32(-b.budget[k] / 2 - 1e-5))
+            a, c = one[s + near // len(two)], two[near % len(two)]
+            way = ids[a] < ids[c]
+            a, c = a[way], c[way]
+            for at in range(0, len(a), 1 << 15):
+                p, q = a[at : at + (1 << 15)], c[at : at + (1 << 15)]
+                mine = ((own[p] - own[q]) ** 2).sum(1) <= b.budget[k]
+                p, q = p[mine], q[mine]
+                for n, e in enumerate(parts[:-1]):  # not within budget in an earlier block
+                    some, where = np.unique(np.concatenate([p, q]), return_inverse=True)
+                    y = rotated(x[some], b.q[:, e])
+                    new = ((y[where[: len(p)]] - y[where[len(p) :]]) ** 2).sum(1) > b.budget[n]
+                    p, q = p[new], q[new]
+                close = (x[p] * x[q]).sum(1) >= t
+                p, q = p[close], q[close]
+                count += np.bincount(p, weights=m[q], minlength=len(ids)) + np.bincount(q, weights=m[p], minlength=len(ids))
+                label = np_components(np.concatenate([i, p]), np.concatenate([j, q]), len(ids))
+                i = np.flatnonzero(label != np.arange(len(ids)))
+                j = label[i]
         # a row may be on both sides: forests and counts are by id
         named, at = np.unique(ids, return_inverse=True)
         label = np_components(at[i], at[j], len(named))
