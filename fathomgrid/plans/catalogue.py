@@ -398,6 +398,15 @@ def nav_window(spark, d):
     return out(w.groupBy("nav").agg(F.count("*").alias("n"), F.avg("v").alias("m")), "nav", "n", mean="m")
 
 
+@query("WITH t AS (SELECT event_id AS trace, value AS v FROM events), s AS (SELECT max(trace) + 1 AS size FROM t), n AS (SELECT n AS nav, greatest(n * 50 - 40, 0) AS lo, n * 50 + 40 AS hi FROM s, range(CAST(ceil(size / 50) AS BIGINT)) AS r(n)) SELECT CAST(nav AS INT) AS nav, count(*) AS n, round(avg(v), 6) + 0.0 AS mean FROM t JOIN n ON trace >= lo AND trace < hi GROUP BY nav")
+def nav_window_all(spark, d):
+    """nav_window over all events: as many navigators as they fill, where its SQL has 20 over 1000 traces."""
+    t = read(spark, d, "events").select(F.col("event_id").alias("trace"), F.col("value").alias("v"))
+    size = _size(t, "trace")
+    w = sense.nav_windows(t, -(-size // 50), 50, 80, size)
+    return out(w.groupBy("nav").agg(F.count("*").alias("n"), F.avg("v").alias("m")), "nav", "n", mean="m")
+
+
 @query("SELECT CAST(b AS INT) AS b, CAST(b * 10 + t AS INT) AS trace, 1.0e0 AS v FROM range(6) AS r(b), range(5) AS s(t)")
 def frames_basis(spark, d):
     """G5."""
@@ -763,6 +772,12 @@ def power_fixed_5(spark, d):
     return spark.createDataFrame([(round(value, 4),)], "value double")
 
 
+def _size(df: DataFrame, key: str) -> int:
+    """The least size of a dimension that holds all its indices."""
+    last = df.agg(F.max(key)).first()[0]
+    return 0 if last is None else last + 1
+
+
 def _events_operator(spark, d):
     p = _points(spark, d).filter("sample < 1000").select("sample", "kx", "v")
     op = fourier.ndft(p.select("sample", "kx"), {"kx": "x"}, 8, {"sample": 0})
