@@ -26,6 +26,36 @@ def run(spark, name, d):
     return catalogue.QUERIES[name](spark, d).collect()
 
 
+def image(rows):
+    x = np.zeros(8, complex)
+    for r in rows:
+        x[r.x] = complex(r.re, r.im)
+    return x
+
+
+def ndft(kx, n=8):
+    return np.exp(-2j * np.pi / n * np.outer(kx, np.arange(n) - n // 2)) / np.sqrt(n)
+
+
+def differences(spark):
+    g = catalogue.differences.gradient(spark, {"x": 8}, ["x"])
+    columns = []
+    for e in np.eye(8):
+        rows = g.forward(catalogue.Tensor(spark.createDataFrame([(i, float(v), 0.0) for i, v in enumerate(e)], "x int, re double, im double"), {"x": 8})).df.collect()
+        columns.append({r.x: r.re for r in rows})
+    return np.array([[c.get(i, 0.0) for c in columns] for i in range(8)])
+
+
+def krylov(a, b, steps):
+    """The least residual of the normal equations over the Krylov space of so many steps: what LSMR gives."""
+    h, g = a.conj().T @ a, a.conj().T @ b
+    k = [g]
+    for _ in range(steps - 1):
+        k.append(h @ k[-1] / np.linalg.norm(h @ k[-1]))
+    q = np.linalg.qr(np.stack(k, 1))[0]
+    return q @ np.linalg.lstsq(h @ q, g, rcond=None)[0]
+
+
 def test_nav_window_all(spark, events):
     d, _, v, _ = events
     got = {r.nav: (r.n, r["mean"]) for r in run(spark, "nav_window_all", d)}
@@ -33,3 +63,29 @@ def test_nav_window_all(spark, events):
     for n, (count, mean) in got.items():
         own = v[max(n * 50 - 40, 0) : n * 50 + 40]
         assert count == len(own) and abs(mean - own.mean()) < 1e-5
+
+
+def test_lsmr_recon(spark, events):
+    d, kx, v, _ = events
+    assert np.allclose(image(run(spark, "lsmr_recon", d)), krylov(ndft(kx), v, 4), atol=1e-5, rtol=1e-5)
+
+
+def test_pdhg_tv(spark, events):
+    d, kx, v, _ = events
+    a, g = ndft(kx), differences(spark)
+    step = 1 / np.sqrt(np.linalg.norm(a, 2) ** 2 + 4)
+    x = bar = np.zeros(8, complex)
+    y, w = np.zeros(N, complex), np.zeros(8, complex)
+    for _ in range(3):
+        y = (y + step * (a @ bar - v)) / (1 + step)
+        w = w + step * g @ bar
+        w = w / np.maximum(1, np.abs(w) / 5)
+        new = x - step * (a.conj().T @ y + g.T @ w)
+        x, bar = new, 2 * new - x
+    assert np.allclose(image(run(spark, "pdhg_tv", d)), x, atol=1e-4, rtol=1e-4)
+
+
+def test_admm_tv(spark, events):
+    d, kx, v, _ = events
+    a = np.vstack([ndft(kx), differences(spark)])
+    assert np.allclose(image(run(spark, "admm_tv", d)), krylov(a, np.concatenate([v, np.zeros(8)]), 2), atol=1e-5, rtol=1e-5)
