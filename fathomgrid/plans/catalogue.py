@@ -908,11 +908,11 @@ def move_navigators(spark, d):
 
 @query()
 def precon_events(spark, d):
-    """V1, V4: density weights of 200 samples."""
+    """V1, V4: density weights of the samples."""
     from ..operators import recon
 
-    p = _points(spark, d).filter("sample < 200").select("sample", "kx")
-    return out(recon.preconditioner(p, {"kx": "x"}, 32, {"sample": 201}).df, "sample", w="re")
+    p = _points(spark, d).select("sample", "kx")
+    return out(recon.preconditioner(p, {"kx": "x"}, 32, {"sample": _size(p, "sample")}).df, "sample", w="re")
 
 
 @query()
@@ -920,7 +920,7 @@ def recon_rss_events(spark, d):
     """Least squares for each channel, then the root of the sum of squares."""
     from ..operators import recon
 
-    p = _points(spark, d).filter("sample < 2000")
+    p = _points(spark, d)
     op = fourier.ndft(p.select("sample", "kx"), {"kx": "x"}, 8, {"sample": 0}, {"channel": 8})
     return out(recon.recon_rss(op, _data(p), iterations=2), "x", rss="v")
 

@@ -89,3 +89,28 @@ def test_admm_tv(spark, events):
     d, kx, v, _ = events
     a = np.vstack([ndft(kx), differences(spark)])
     assert np.allclose(image(run(spark, "admm_tv", d)), krylov(a, np.concatenate([v, np.zeros(8)]), 2), atol=1e-5, rtol=1e-5)
+
+
+def test_recon_rss_events(spark, events):
+    d, kx, v, channel = events
+    a = np.kron(np.eye(8), ndft(kx))
+    b = np.concatenate([np.where(channel == c, v, 0) for c in range(8)])
+    x = krylov(a, b, 2).reshape(8, 8)
+    got = {r.x: r.rss for r in run(spark, "recon_rss_events", d)}
+    assert np.allclose([got[i] for i in range(8)], np.sqrt((np.abs(x) ** 2).sum(0)), atol=1e-5, rtol=1e-5)
+
+
+def test_precon_events(spark, events):
+    d, kx, _, _ = events
+    a = ndft(2 * kx, 64)
+    box = np.zeros(64)
+    box[16:48] = 1
+    f = np.fft.fft(np.fft.ifftshift(box), norm="ortho")
+    auto = np.fft.fftshift(np.fft.ifft(np.abs(f) ** 2, norm="ortho"))
+    w = a @ (auto * (a.conj().T @ np.ones(N)))
+    want = 1 / (np.abs(w) * 64**1.5 / 32 / 32)
+    got = {r.sample: r.w for r in run(spark, "precon_events", d)}
+    # samples beyond the last cell of the oversampled grid have no weight
+    inside = [i for i in range(N) if np.rint(4 * kx[i]) + 64 < 128]
+    assert sorted(got) == inside
+    assert np.allclose([got[i] for i in inside], want[inside], rtol=2e-2)
