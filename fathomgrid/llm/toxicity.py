@@ -3,7 +3,7 @@
 Terms are lower-case words and their first four and five letters (marked *), and the same with #n where a text has them n
 times or more. The vocabulary holds the terms whose share of
 toxic training documents is above the prior's beyond chance, so cosines compare what tells, not prose; it is
-counted over all labelled training rows but near copies of others (one row for each smallest shingle hash), document
+counted over all distinct labelled training texts but verified near copies of a counted one with the same label, document
 frequencies over all documents. Examples are labelled rows
 with at least one term, at most max_examples (drawn by a hash of their text): the index fits a worker, whatever the corpus.
 A document without terms is scored by the share of toxic ones among all training rows without terms.
@@ -12,7 +12,8 @@ The index has each term's postings in blocks of consecutive examples, with the l
 for each block, visits blocks from the highest bound on, and stops when the bound is below the k-th best cosine:
 the k nearest examples are exact, ties by example order included.
 
-Scale: three scans, a shuffle of term counts (pre-aggregated for each batch), bounded collects. Scoring is a map.
+Scale: a shuffle of the labelled texts, one of near copies' candidates, one of term counts (pre-aggregated for each batch), bounded
+collects. Scoring is a map.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ MAX_EXAMPLES = 20_000
 LEAST_DOCS = 3
 LEAST_ODDS = 5.0
 SHINGLE = 3
+#: A near copy is a text whose set of shingles has this Jaccard similarity or more with a kept one's.
+NEAR = 0.8
 NEIGHBOURS = 15
 BLOCK = 64
 SHRINK = 0.2
@@ -193,20 +196,65 @@ def _term_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[t] for t in every], pa.int64())], ["term", "n", "toxic"])
 
 
+def _shingles(texts: pa.Array):
+    """(first row, rows, row of each shingle from there, its hash) for each block of texts; texts of fewer words have none."""
+    for row, data, offsets in blocks(texts):
+        starts, ends, text = word_spans(LOWER[data], offsets)
+        h = window_hashes(word_hashes(LOWER[data], starts, ends), SHINGLE)
+        whole = text[: len(h)] == text[SHINGLE - 1 :][: len(h)]
+        yield row, len(offsets) - 1, text[: len(h)][whole], h[whole]
+
+
 def _signed(batches):
-    """The smallest hash of each text's shingles of words: near copies mostly share it."""
+    """The smallest hash of each text's shingles of words: near copies mostly share it, and so may others."""
     for b in batches:
         s = np.zeros(b.num_rows, np.uint64)
-        for row, data, offsets in blocks(b.column("text")):
-            starts, ends, text = word_spans(LOWER[data], offsets)
-            h = window_hashes(word_hashes(LOWER[data], starts, ends), SHINGLE)
-            whole = text[: len(h)] == text[SHINGLE - 1 :][: len(h)]
-            least = np.full(len(offsets) - 1, np.iinfo(np.uint64).max)
-            np.minimum.at(least, text[: len(h)][whole], h[whole])
+        for row, n, text, h in _shingles(b.column("text")):
+            least = np.full(n, np.iinfo(np.uint64).max)
+            np.minimum.at(least, text, h)
             # texts too short for a shingle stand for themselves
-            own = b.column("o").slice(row, len(least)).to_numpy(zero_copy_only=False).view(np.uint64)
-            s[row : row + len(least)] = np.where(least == np.iinfo(np.uint64).max, own, least)
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("o"), b.column("y"), pa.array(s.view(np.int64))], ["id", "o", "y", "s"])
+            own = b.column("o").slice(row, n).to_numpy(zero_copy_only=False).view(np.uint64)
+            s[row : row + n] = np.where(least == np.iinfo(np.uint64).max, own, least)
+        yield pa.RecordBatch.from_arrays([b.column("o"), b.column("y"), pa.array(s.view(np.int64))], ["o", "y", "s"])
+
+
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text."""
+    out = [np.zeros(0, np.uint64)] * len(texts)
+    for row, n, text, h in _shingles(texts):
+        cut = np.searchsorted(text, np.arange(n + 1))
+        for i in range(n):
+            out[row + i] = np.unique(h[cut[i] : cut[i + 1]])
+    return out
+
+
+def _similar(batches):
+    """o of the rows whose text and other have shingle sets of similarity NEAR or more."""
+    for b in batches:
+        for at in range(0, b.num_rows, 500):
+            part = b.slice(at, 500)
+            near = []
+            for o, x, y in zip(part.column("o").to_pylist(), _sets(part.column("text")), _sets(part.column("other"))):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both and both >= NEAR * (len(x) + len(y) - both):
+                    near.append(o)
+            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int64())], ["o"])
+
+
+def _without_copies(train: DataFrame) -> DataFrame:
+    """(o, text, y): each text of train once, toxic if any of its rows is, but for near copies of a kept text with the same label.
+
+    Candidates meet their group's first text by the least shingle hash and the label; that text stays, and of the others
+    only those go whose whole shingle sets are similar to it.
+    """
+    texts = materialize(train.groupBy("o").agg(F.max("y").alias("y"), F.first("text").alias("text")), "texts")
+    signed = materialize(texts.mapInArrow(_signed, "o long, y int, s long"), "signed")
+    first = materialize(signed.groupBy("s", "y").agg(F.min("o").alias("keep"), F.count("*").alias("n")).filter("n > 1").select("s", "y", "keep"), "first")
+    pairs = materialize(signed.join(small_or_shuffled(first), ["s", "y"]).filter("o <> keep").select("o", "keep"), "pairs")
+    kept = texts.select(F.col("o").alias("keep"), F.col("text").alias("other"))
+    both = texts.join(small_or_shuffled(pairs), "o").select("o", "keep", "text").join(kept, "keep").select("o", "text", "other")
+    near = materialize(both.mapInArrow(_similar, "o long"), "near")
+    return texts.join(small_or_shuffled(near), "o", "left_anti")
 
 
 def _frequencies(vocabulary: list[str]):
@@ -245,9 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     rows, toxic = train.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not rows:
         return Model([], [], [], 0.0, 0.0, k)
-    signed = train.mapInArrow(_signed, "id long, o long, y int, s long").groupBy("s").agg(F.min("o").alias("keep"))
-    alone = materialize(signed.select("keep").distinct(), "alone")
-    single = train.join(small_or_shuffled(alone), F.col("o") == F.col("keep")).select("text", "y")
+    single = _without_copies(train).select("text", "y")
     total, bad = single.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     counts = single.mapInArrow(_term_counts, "term string, n long, toxic long")
     counts = materialize(counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("x")).filter(F.col("n") >= LEAST_DOCS), "terms")
