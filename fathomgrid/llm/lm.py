@@ -1,4 +1,4 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark, kept as sorted hash arrays that workers memory-map.
+"""An interpolated modified Kneser-Ney model of order two or three, counted in Spark, kept as sorted hash arrays that workers memory-map.
 
 Counting: each unit of texts counts its own bigrams of 64-bit word hashes; they meet by bucket (hash of the bigram, so a
 frequent context spreads over all buckets), where counts are added up and written to the shared folder as sorted arrays.
@@ -33,15 +33,16 @@ UNIT = 4 << 20
 #: Words are known by the upper 56 bits of their hashes; bigrams by all 64 of theirs.
 WORD_BITS = U((1 << 64) - 256)
 START, END = mix(np.array([1, 2], U) * U(0xD1B54A32D192ED03)) & WORD_BITS
-COLUMNS = ["bucket", "n", "a", "b", "c", "d", "e"]
-ROW = "bucket long, n long, a binary, b binary, c binary, d binary, e binary"
-ARROW_ROW = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in "abcde")])
-STATS = ["tokens", "vocabulary", "bigrams", "n1", "n2", "n3", "n4", "k1", "k2", "k3", "k4", "k3plus"]
+COLUMNS = ["bucket", "n", "a", "b", "c", "d", "e", "f"]
+ROW = "bucket long, n long, a binary, b binary, c binary, d binary, e binary, f binary"
+ARROW_ROW = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in "abcdef")])
+STATS = ["tokens", "vocabulary", "bigrams", "n1", "n2", "n3", "n4", "k1", "k2", "k3", "k4", "k3plus", "t1", "t2", "t3", "t4"]
 
 _open: dict = {}
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    rows = [(*r, *[None] * (len(COLUMNS) - len(r))) for r in rows]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), ARROW_ROW.types)], schema=ARROW_ROW) if rows else pa.RecordBatch.from_pylist([], ARROW_ROW)
 
 
@@ -63,6 +64,14 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return token, before, n + 1
 
 
+def pairs_before(before: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The hash of the two predecessors of each token; START stands twice before each text of n tokens."""
+    earlier = np.empty_like(before)
+    earlier[1:] = before[:-1]
+    earlier[np.cumsum(n) - n] = START
+    return bigram_hash(earlier, before)
+
+
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return (((h >> U(32)) * U(n)) >> U(32)).astype(np.int64)
 
@@ -95,6 +104,24 @@ def _count(buckets: int):
     return run
 
 
+def _count_trigrams(buckets: int):
+    def run(batches):
+        for b in batches:
+            for _, data, offsets in blocks(b.column("text"), UNIT):
+                token, before, n = tokens_of(data, offsets)
+                pair = pairs_before(before, n)
+                h, place, count = np.unique(bigram_hash(pair, token), return_index=True, return_counts=True)
+                u, v, w, bucket = pair[place], before[place], token[place], bucket_of(h, buckets)
+                by = np.lexsort((w, u, bucket))
+                u, v, w, count, bucket = u[by], v[by], w[by], count[by].astype("<u4"), bucket[by]
+                # a context's last word stands once for its run, as the context does
+                for k, s in parts(bucket):
+                    first = np.flatnonzero(np.concatenate([[True], u[s][1:] != u[s][:-1]]))
+                    yield _rows([(k, s.stop - s.start, *_coded(u[s], w[s]), pack(count[s]), pack(v[s][first]))])
+
+    return run
+
+
 def _coded(v: np.ndarray, w: np.ndarray) -> tuple[bytes, ...]:
     """Bigrams sorted by context: each context once with its run, each word once and its number at each place."""
     cut = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
@@ -137,26 +164,75 @@ def _mapped(folder: str, name: str) -> np.ndarray:
     return _open[key]
 
 
+def _trigrams(folder: str, buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Adds up a bucket's trigrams, writes them, and sends on sums by context and the bigrams that end them."""
+        bucket = group.column("bucket")[0].as_py()
+        own = [[group.column(c)[i].as_py() for c in "abcdf"] for i in range(group.num_rows)]
+        u, w = (np.concatenate(x) for x in zip(*(_decoded(*r[:4]) for r in own)))
+        v = np.concatenate([np.repeat(unpack(r[4], "<u8"), unpack(r[1], "<u4")) for r in own])
+        h, place = np.unique(bigram_hash(u, w), return_index=True)
+        _, count = summed(bigram_hash(u, w), unpack_all(group.column("e").to_pylist(), "<u4").astype(np.int64))
+        u, v, w = u[place], v[place], w[place]
+        _save(folder, f"trigram-{bucket}", h)
+        _save(folder, f"trigram-count-{bucket}", count)
+        out = [(-5 - s, int((count == k).sum())) for s, k in enumerate([1, 2, 3, 4])]
+        # bigrams count the words before them; nothing stands before START, so its bigrams keep their counts
+        h, place = np.unique(bigram_hash(v, w), return_index=True)
+        _, adjusted, raw = summed(bigram_hash(v, w), np.where(v == START, count, 1), count)
+        v, w, bigram_bucket = v[place], w[place], bucket_of(h, buckets)
+        by = np.lexsort((w, v, bigram_bucket))
+        v, w, adjusted, raw = v[by], w[by], adjusted[by].astype("<u4"), raw[by].astype("<u4")
+        for k, s in parts(bigram_bucket[by]):
+            out.append((2 * k + 1, s.stop - s.start, *_coded(v[s], w[s]), pack(adjusted[s]), pack(raw[s])))
+        u, total, n1, n2, n3 = summed(u, count, (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count >= 3).astype(np.int64))
+        for k, s in parts(bucket_of(u, buckets)):
+            out.append((2 * k, s.stop - s.start, pack(u[s]), pack(total[s]), pack(n1[s]), pack(n2[s]), pack(n3[s])))
+        return pa.Table.from_batches([_rows(out)], ARROW_ROW)
+
+    return run
+
+
+def _pairs(folder: str, buckets: int, word_buckets: int):
+    bigrams = _bigrams(folder, buckets, word_buckets)
+
+    def run(group: pa.Table) -> pa.Table:
+        """Writes a bucket of contexts of two words, or counts a bucket of bigrams; counts of counts pass."""
+        bucket = group.column("bucket")[0].as_py()
+        if bucket < 0:
+            return group
+        if bucket % 2:
+            return bigrams(group.set_column(0, "bucket", pa.array([bucket // 2] * group.num_rows, pa.int64())))
+        h, *sums = summed(*(unpack_all(group.column(c).to_pylist(), t) for c, t in zip("abcde", ["<u8", *["<i8"] * 4])))
+        _save(folder, f"pair-{bucket // 2}", h)
+        for k, x in enumerate(sums):
+            _save(folder, f"pair-{bucket // 2}-{k}", x)
+        return pa.Table.from_batches([_rows([])], ARROW_ROW)
+
+    return run
+
+
 def _bigrams(folder: str, buckets: int, word_buckets: int):
     def run(group: pa.Table) -> pa.Table:
-        """Adds up a bucket's bigrams, writes them, and sends on sums by context and by word."""
+        """Adds up a bucket's bigrams, writes them, and sends on sums by context and by word. Column f: their own counts, where e has others."""
         bucket = group.column("bucket")[0].as_py()
         pairs = [_decoded(*(group.column(c)[i].as_py() for c in "abcd")) for i in range(group.num_rows)]
         v, w = (np.concatenate(x) for x in zip(*pairs))
-        count = unpack_all(group.column("e").to_pylist(), "<u4")
+        count = unpack_all(group.column("e").to_pylist(), "<u4").astype(np.int64)
+        raw = count if group.column("f")[0].as_py() is None else unpack_all(group.column("f").to_pylist(), "<u4").astype(np.int64)
         h, place = np.unique(bigram_hash(v, w), return_index=True)
-        _, count = summed(bigram_hash(v, w), count.astype(np.int64))
+        _, count, raw = summed(bigram_hash(v, w), count, raw)
         v, w = v[place], w[place]
         _save(folder, f"bigram-{bucket}", h)
         _save(folder, f"bigram-count-{bucket}", count)
         one = np.ones(len(v), np.int64)
         v, total, n1, n2, n3 = summed(v, count, (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count >= 3).astype(np.int64))
-        w, follows, times = summed(w, one, count)
-        out = [(-1 - s, s0, None, None, None, None, None) for s, s0 in enumerate([int((count == k).sum()) for k in (1, 2, 3, 4)])]
+        w, follows, times = summed(w, one, raw)
+        out = [(-1 - s, s0) for s, s0 in enumerate([int((count == k).sum()) for k in (1, 2, 3, 4)])]
         for k, s in parts(bucket_of(v, word_buckets)):
             out.append((2 * k, s.stop - s.start, pack(v[s]), pack(total[s]), pack(n1[s]), pack(n2[s]), pack(n3[s])))
         for k, s in parts(bucket_of(w, word_buckets)):
-            out.append((2 * k + 1, s.stop - s.start, pack(w[s]), pack(follows[s]), pack(times[s]), None, None))
+            out.append((2 * k + 1, s.stop - s.start, pack(w[s]), pack(follows[s]), pack(times[s])))
         return pa.Table.from_batches([_rows(out)], ARROW_ROW)
 
     return run
@@ -170,7 +246,7 @@ def _words(folder: str):
         bucket = group.column("bucket")[0].as_py()
         stats = dict.fromkeys(STATS, 0)
         if bucket < 0:
-            stats[f"n{-bucket}"] = sum(group.column("n").to_pylist())
+            stats[f"n{-bucket}" if bucket > -5 else f"t{-4 - bucket}"] = sum(group.column("n").to_pylist())
         else:
             kinds = "<u8", *["<i8"] * (4 if bucket % 2 == 0 else 2)
             h, *sums = summed(*(unpack_all(group.column(c).to_pylist(), t) for c, t in zip("abcde", kinds)))
@@ -202,22 +278,35 @@ class Model:
     buckets: int
     word_buckets: int
     stats: dict
+    order: int = 2
 
     def look(self, kind: str, h: np.ndarray, columns: int) -> list[np.ndarray]:
         """The columns of each hash, 0 where it is not in the model. h: sorted."""
         out = [np.zeros(len(h), np.int64) for _ in range(columns)]
-        for k, s in parts(bucket_of(h, self.buckets if kind == "bigram" else self.word_buckets)):
+        for k, s in parts(bucket_of(h, self.buckets if kind in ("bigram", "trigram", "pair") else self.word_buckets)):
             keys = _mapped(self.folder, f"{kind}-{k}")
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, h[s]), len(keys) - 1)
                 found = keys[at] == h[s]
                 for c, o in enumerate(out):
-                    name = f"bigram-count-{k}" if kind == "bigram" else f"{kind}-{k}-{c}"
+                    name = f"{kind}-count-{k}" if kind in ("bigram", "trigram") else f"{kind}-{k}-{c}"
                     o[s][found] = _mapped(self.folder, name)[at[found]]
         return out
 
-    def logs(self, token: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(known, base log10, log10 probability) of each token after its predecessor."""
+    def interpolated(self, p: np.ndarray, token: np.ndarray, context: np.ndarray, kinds: tuple[str, str], counts: str) -> np.ndarray:
+        """p of the order below, where a token's context is in the model mixed with the discounted share of its n-gram there."""
+        v, on = np.unique(context, return_inverse=True)
+        seen, n1, n2, n3 = self.look(kinds[0], v, 4)
+        h, gram = np.unique(bigram_hash(context, token), return_inverse=True)
+        (count,) = self.look(kinds[1], h, 1)
+        d = discounts(*(self.stats[f"{counts}{k}"] for k in (1, 2, 3, 4)))
+        own = np.maximum(count - d[np.minimum(count, 3)], 0)[gram]
+        left = d[1] * n1 + d[2] * n2 + d[3] * n3
+        tokens = np.maximum(seen, 1)[on]
+        return np.where(seen[on] > 0, own / tokens + left[on] / tokens * p, p)
+
+    def logs(self, token: np.ndarray, before: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known, base log10, log10 probability) of each token after its predecessors; n: tokens of each text."""
         s = self.stats
         size, total = s["vocabulary"], s["tokens"]
         w, at = np.unique(token, return_inverse=True)
@@ -229,29 +318,31 @@ class Model:
             p = (np.maximum(follows - d[np.minimum(follows, 3)], 0) / s["bigrams"] + back / (size + 1))[at]
         else:
             p = np.full(len(token), 1 / (size + 1))
-        v, on = np.unique(before, return_inverse=True)
-        seen, n1, n2, n3 = self.look("context", v, 4)
-        h, pair = np.unique(bigram_hash(before, token), return_inverse=True)
-        (count,) = self.look("bigram", h, 1)
-        d = discounts(s["n1"], s["n2"], s["n3"], s["n4"])
-        own = np.maximum(count - d[np.minimum(count, 3)], 0)[pair]
-        left = d[1] * n1 + d[2] * n2 + d[3] * n3
-        tokens = np.maximum(seen, 1)[on]
-        p = np.where(seen[on] > 0, own / tokens + left[on] / tokens * p, p)
+        p = self.interpolated(p, token, before, ("context", "bigram"), "n")
+        if self.order == 3:
+            p = self.interpolated(p, token, pairs_before(before, n), ("pair", "trigram"), "t")
         return (times > 0)[at], base, np.log10(p)
 
 
-def fit(texts: DataFrame, text: str = "text") -> Model:
-    """Counts the model from all texts (null: empty, one END). A-Z is lower-cased; words are runs without white space."""
+def fit(texts: DataFrame, text: str = "text", order: int = 2) -> Model:
+    """Counts the model of order 2 or 3 from all texts (null: empty, one END). A-Z is lower-cased; words are runs without white space."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     spark = texts.sparkSession
     ship(spark)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     word_buckets = -(-buckets // 8)  # words are far fewer than bigrams; each bucket of bigrams sends two rows to each
     folder = new_shared_path(spark, "lm")
     run, kinds = _words(folder)
-    counted = texts.select(F.col(text).alias("text")).mapInArrow(_count(buckets), ROW).groupBy("bucket").applyInArrow(_bigrams(folder, buckets, word_buckets), ROW)
+    counted, pairs = texts.select(F.col(text).alias("text")), _bigrams(folder, buckets, word_buckets)
+    if order == 3:
+        counted = counted.mapInArrow(_count_trigrams(buckets), ROW).groupBy("bucket").applyInArrow(_trigrams(folder, buckets), ROW)
+        pairs = _pairs(folder, buckets, word_buckets)
+    else:
+        counted = counted.mapInArrow(_count(buckets), ROW)
+    counted = counted.groupBy("bucket").applyInArrow(pairs, ROW)
     stats = counted.groupBy("bucket").applyInArrow(run, kinds).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STATS)).first()
-    return Model(folder, buckets, word_buckets, stats.asDict())
+    return Model(folder, buckets, word_buckets, stats.asDict(), order)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -270,7 +361,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             made: list[list] = [[] for _ in types]
             for _, data, offsets in blocks(b.column(text), UNIT):
                 token, before, n = tokens_of(data, offsets)
-                known, base, p = model.logs(token, before)
+                known, base, p = model.logs(token, before, n)
                 cut = np.cumsum(n) - n
                 total = np.add.reduceat(p, cut)
                 for m, x in zip(made, (n, np.add.reduceat(known.astype(np.int64), cut), np.full(len(n), model.stats["tokens"]), np.add.reduceat(base, cut), total, 10 ** (-total / n))):
@@ -285,7 +376,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
-    out = score(docs.withColumn("held_out", held), fit(docs.filter(~held)))
+    out = score(docs.withColumn("held_out", held), fit(docs.filter(~held), order=3))
     return out.toDF(*(c.removeprefix("_") for c in out.columns))
 
 
