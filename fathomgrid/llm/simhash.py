@@ -144,25 +144,31 @@ def group_documents(docs: DataFrame, distance: int = 2, shingle: int = 3, id: st
     Null ids: the row takes part; a component of null ids only is null. Repeated rows give repeated rows. Documents
     without words share fingerprint zero and link like any others. No rows: no rows.
     """
-    fp = materialize(fingerprint_documents(docs.select(id, text), text, shingle), "simhash")
+    return _grouped(docs.select(id, text), distance, shingle, id, text)
+
+
+def _grouped(docs: DataFrame, distance: int, shingle: int, id: str, text: str) -> DataFrame:
+    """The columns of docs but text, fp and component for each row."""
+    fp = materialize(fingerprint_documents(docs, text, shingle), "simhash")
     distinct = materialize(fp.groupBy("fp").agg(F.min(id).alias("least")), "fps")
     links = near_links(distinct, distance)
     comp = connected_components(links)
     named = distinct.join(comp, distinct.fp == comp.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
     ids = named.groupBy("class").agg(F.min("least").alias("component"))
     table = materialize(named.join(ids, "class").select(F.col("fp").alias("f"), "component"), "classes")
-    return fp.join(small_or_shuffled(table), fp.fp == F.col("f")).select(id, "fp", "component")
+    return fp.join(small_or_shuffled(table), fp.fp == F.col("f")).select(*fp.columns, "component")
 
 
 def keep_one(docs: DataFrame, distance: int = 2, shingle: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its group (of rows with that id and text, one); rows without an id stay.
+    """The rows of docs whose id is the smallest of its group, repeated rows included; rows without an id stay.
 
-    Columns and their order are those of docs.
+    An id on rows of different texts is judged for each text. Columns and their order are those of docs.
     """
-    g = group_documents(docs, distance, shingle, id, text)
-    gone = g.filter(F.col(id) != F.col("component")).select(F.col(id).alias("_fathomgrid_gone")).distinct()
-    rest = docs.join(small_or_shuffled(materialize(gone, "gone")), docs[id] == F.col("_fathomgrid_gone"), "left_anti")
-    return rest
+    own = docs.withColumn("_fathomgrid_o", F.xxhash64(text))
+    g = _grouped(own.select(id, "_fathomgrid_o", text), distance, shingle, id, text)
+    gone = g.filter(F.col(id) != F.col("component")).select(F.col(id).alias("_fathomgrid_gone"), F.col("_fathomgrid_o").alias("_fathomgrid_text")).distinct()
+    on = (own[id] == F.col("_fathomgrid_gone")) & (F.col("_fathomgrid_o") == F.col("_fathomgrid_text"))
+    return own.join(small_or_shuffled(materialize(gone, "gone")), on, "left_anti").select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
