@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, load, others
+from .common import WORD, load, materialize, others
 
 WEIGHTS = (5, 2, 1)
 BIG = "decimal(38,0)"
@@ -52,37 +52,49 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget_perc
     return s.select("source", "source_size", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, budget_percent: int = 150, max_epochs: int = 2, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def _mixed(docs: DataFrame, seed: int, weights: tuple[int, ...], budget_percent: int, max_epochs: int, id: str, text: str, source: str, size: str | None) -> DataFrame:
+    """row (the row of docs, whole), size, source_size, target, times."""
+    words = F.coalesce(F.col(size).cast("long"), F.lit(0)) if size else word_count(F.col(text))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id).cast("string"), F.lit(""))))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source).alias("s"), words.alias("size"), order.alias("o"))
+    rows = rows.withColumn("bucket", F.substring("o", 1, 3))
+    sums = rows.groupBy(F.col("s").alias("source"), F.col("bucket").alias("b")).agg(F.sum("size").alias("words"))
+    targets = water_fill(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget_percent, max_epochs)
+    before = F.sum("words").over(Window.partitionBy("source").orderBy("b")) - F.col("words")
+    starts = sums.select("source", "b", before.alias("before")).alias("a").join(targets.alias("t"), F.expr("a.source <=> t.source"))
+    starts = starts.select(F.col("a.source").alias("source"), "b", "before", "source_size", "target")
+    both = rows.join(starts, F.col("s").eqNullSafe(F.col("source")) & (F.col("bucket") == F.col("b")))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    place = Window.partitionBy("source", "b").orderBy("o", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("upto", F.col("before") + F.sum("size").over(place)).withColumn("whole", whole)
+    extra = (F.col("whole") < max_epochs) & (2 * F.col("upto") - F.col("size") <= 2 * (F.col("target") - F.col("whole") * F.col("source_size")))
+    return both.select("row", "size", "source_size", "target", (F.col("whole") + extra.cast("long")).alias("times"))
+
+
+def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, budget_percent: int = 150, max_epochs: int = 2, id: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None) -> DataFrame:
     """docs with _size (words), _source_size, _target (of the source) and _times (0 to max_epochs): how often the mix repeats the row.
 
-    Null text: size 0. Null source: a source of its own, the last. Null ids and repeated rows are rows like others; ties in
-    the seeded order go by size. Each source's repeated words differ from its target by half a document at most. The
-    same rows give the same result, however they are dealt. Empty table: empty result.
+    size: a column that has the words of each row counted already. Null text: size 0. Null source: a source of its own, the
+    last. Null ids and repeated rows are rows like others; ties in the seeded order go by size. Each source's repeated
+    words differ from its target by half a document at most. The same rows give the same result, however they are dealt.
+    Columns of docs of these four names are replaced. Empty table: empty result.
     """
-    docs = docs.select(*others(docs, "_size", "_order", "_bucket", "_src", "_bkt", "_before", "_source_size", "_target", "_upto", "_whole", "_times", "_k"))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id).cast("string"), F.lit(""))))
-    rows = docs.withColumn("_size", word_count(F.col(text))).withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, 3))
-    sums = rows.groupBy(F.col(source).alias("source"), F.col("_bucket").alias("bucket")).agg(F.sum("_size").alias("words"))
-    targets = water_fill(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget_percent, max_epochs)
-    before = F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")
-    starts = sums.select("source", "bucket", before.alias("_before")).alias("a").join(targets.alias("b"), F.expr("a.source <=> b.source"))
-    starts = starts.select(F.col("a.source").alias("_src"), F.col("bucket").alias("_bkt"), "_before", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    both = rows.join(starts, rows[source].eqNullSafe(F.col("_src")) & (F.col("_bucket") == F.col("_bkt")))
-    whole = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(0).cast("long")
-    place = Window.partitionBy("_src", "_bkt").orderBy("_order", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col("_before") + F.sum("_size").over(place)
-    both = both.withColumn("_upto", upto).withColumn("_whole", whole)
-    extra = (F.col("_whole") < max_epochs) & (2 * F.col("_upto") - F.col("_size") <= 2 * (F.col("_target") - F.col("_whole") * F.col("_source_size")))
-    return both.select(*docs.columns, "_size", "_source_size", "_target", (F.col("_whole") + extra.cast("long")).alias("_times"))
+    m = _mixed(docs, seed, weights, budget_percent, max_epochs, id, text, source, size)
+    rest = others(docs, "_size", "_source_size", "_target", "_times")
+    return m.select(*(F.col("row").getField(c).alias(c) for c in rest), *(F.col(c).alias(f"_{c}") for c in ("size", "source_size", "target", "times")))
 
 
-def repeated(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs as often as mix() says, with the columns of docs."""
-    return mix(docs, **how).filter("_times > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+def repeated(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, budget_percent: int = 150, max_epochs: int = 2, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: each row of docs as often as mix() says, with the columns of docs as they are, whatever their names."""
+    m = _mixed(docs, seed, weights, budget_percent, max_epochs, id, text, source, None).filter("times > 0")
+    return m.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mix(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = load(spark, sf_dir, "documents")
+    # the texts are counted once
+    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("n")), "sizes")
+    m = mix(sizes, size="n")
     return m.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_times")).alias("taken"))
 
 

@@ -316,14 +316,14 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     return Model(vocabulary, idf, examples, prior, (none_toxic + prior) / (none + 1), k)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", evidence: bool = True) -> DataFrame:
-    """docs with _score (0 to 1) and, with evidence, _evidence: the neighbours' id, cosine and label.
+def score(docs: DataFrame, model: Model, text: str = "text", evidence: bool = True, name: str = "_score") -> DataFrame:
+    """docs with _score (0 to 1; name: another name) and, with evidence, _evidence: the neighbours' id, cosine and label.
 
     Nothing but the text is used. Null and empty texts are texts without terms. Other columns may hold null and are passed
     on; repeated rows give repeated rows; an empty table an empty one.
     """
     ship(docs.sparkSession)
-    docs = docs.select(*others(docs, "_score", *(["_evidence"] if evidence else [])))
+    docs = docs.select(*others(docs, name, *(["_evidence"] if evidence else [])))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
@@ -334,15 +334,19 @@ def score(docs: DataFrame, model: Model, text: str = "text", evidence: bool = Tr
             more = [pa.array([s for s, _ in found], pa.float64())]
             if evidence:
                 more.append(pa.array([[{"id": i, "cosine": c, "label": y} for i, c, y in e] for _, e in found], kind))
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "_score", *(["_evidence"] if evidence else [])])
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, name, *(["_evidence"] if evidence else [])])
 
-    kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_score double", *(["_evidence array<struct<id:bigint,cosine:double,label:int>>"] if evidence else [])]
+    kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{name} double", *(["_evidence array<struct<id:bigint,cosine:double,label:int>>"] if evidence else [])]
     return docs.mapInArrow(run, ", ".join(kinds))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs scored below threshold, with the columns of docs."""
-    return score(docs, fit(docs, labels), evidence=False).filter(F.col("_score") < threshold).select(*docs.columns)
+    """The rows of docs scored below threshold, with the columns of docs as they are, whatever their names.
+
+    Null and empty texts are scored like others; repeated rows stay or go together; an empty table gives an empty one.
+    """
+    mine = "_fathomgrid_score"
+    return score(docs, fit(docs, labels), evidence=False, name=mine).filter(F.col(mine) < threshold).select(*docs.columns)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
