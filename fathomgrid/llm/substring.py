@@ -3,8 +3,8 @@
 A window is `window` consecutive words. Reference blocks are the non-overlapping blocks of (window + 1) // 2 words of each
 document, at multiples of that length: any window of any document holds one whole block of that document. All rolling
 windows of block length of every document probe the blocks; hits are extended by up to window - block words on either side to
-the windows that hold them; the windows' hashes (64 bits) say which of them stand in a document with a smaller id; merged,
-they are the maximal exact repeats.
+the windows that hold them; the windows' hashes (two of different kinds, 128 bits) say which of them stand in a document with
+a smaller id; merged, they are the maximal exact repeats.
 
 Scale: three passes over the texts and no shuffle of texts unless the table of spans is too large to broadcast. Probes
 cross the network as sorted 32-bit hashes with 32-bit positions, about five bytes each after compression, dealt to buckets by
@@ -14,6 +14,7 @@ hash (see exchange). Work is linear in the words, whatever the size of a group o
 from __future__ import annotations
 
 import hashlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load, materialize, others, ship, small_or_shuffled
-from .exchange import ARROW_ROW, ROW, bucket_of, pack, parts, table, unpack, unpack_all
-from .textblocks import blocks, joined, window_hashes, word_hashes, word_spans
+from .exchange import ARROW_ROW, ROW, bucket_of, buckets_for, own_of, pack, parts, runs_of, table, unit_key, unpack, unpack_all
+from .textblocks import blocks, joined, window_hashes, word_checks, word_hashes, word_spans
 
 UNIT = 4 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -30,8 +31,8 @@ SPANS = "id long, th long, spans binary"
 ARROW_SPANS = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("spans", pa.binary())])
 
 
-def _units(batch: pa.RecordBatch, least: int):
-    """(id, th, words of each text, first word of each text, word hashes, spans column part) of each unit of a batch."""
+def _units(batch: pa.RecordBatch, least: int, checks: bool = False):
+    """(rows, id, th, words of each text, first word of each text, word hashes, second hashes if wanted) of each unit of a batch."""
     ids = batch.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
     th = batch.column("th").to_numpy(zero_copy_only=False)
     for row, data, offsets in blocks(batch.column("text"), UNIT):
@@ -39,7 +40,7 @@ def _units(batch: pa.RecordBatch, least: int):
         n = np.bincount(text, minlength=len(offsets) - 1)
         if n.max(initial=0) >= least:
             rows = slice(row, row + len(n))
-            yield rows, ids[rows], th[rows], n, np.cumsum(n) - n, word_hashes(data, starts, ends)
+            yield rows, ids[rows], th[rows], n, np.cumsum(n) - n, word_hashes(data, starts, ends), word_checks(data, starts, ends) if checks else None
 
 
 def _starts(n: np.ndarray, first: np.ndarray, size: int, least: int) -> np.ndarray:
@@ -48,17 +49,18 @@ def _starts(n: np.ndarray, first: np.ndarray, size: int, least: int) -> np.ndarr
     return np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
 
 
-def unit_rows(ids, th, n, buckets: int):
-    key = int(np.bitwise_xor.reduce(np.concatenate([th, ids * 31, n]) * np.int64(0x9E3779B1))) ^ (len(ids) << 40) ^ int(th[0])
-    key = (key + (1 << 63)) % (1 << 64) - (1 << 63)
+def unit_rows(number: int, ids, th, n, buckets: int):
+    """The key of the task's unit of this number, and its own row."""
+    key = unit_key(number, ids, th, n)
     return key, (key % buckets, key, 1, len(n), pack(ids), pack(th), pack(n.astype("<i8")))
 
 
 def _probe(window: int, block: int, buckets: int):
     def run(batches):
+        number = count()
         for b in batches:
-            for _, ids, th, n, first, h in _units(b, window):
-                key, own = unit_rows(ids, th, n, buckets)
+            for _, ids, th, n, first, h, _ in _units(b, window):
+                key, own = unit_rows(next(number), ids, th, n, buckets)
                 at = _starts(n, first, block, window)
                 hb = window_hashes(h, block)[at]
                 aligned = (at - first[np.searchsorted(first, at, "right") - 1]) % block == 0
@@ -75,7 +77,7 @@ def _probe(window: int, block: int, buckets: int):
                 aligned[cut[alike]] = True
                 bucket, rest = bucket_of(hb[send], buckets)
                 place = (at[send].astype("<u4") << np.uint32(1)) | aligned[send]
-                yield table([own, (key % buckets, key, 2, len(known), pack(known), None, None), *((k, key, 0, s.stop - s.start, pack(rest[s]), pack(place[s]), None) for k, s in parts(bucket))])
+                yield table([own, (key % buckets, key, 2, len(known), pack(known)), *((k, key, 0, s.stop - s.start, pack(rest[s]), pack(place[s])) for k, s in parts(bucket))])
 
     return run
 
@@ -110,7 +112,7 @@ def _answers(group, rows, at, which, place):
     for k, i in enumerate(rows):
         if cut[k + 1] > cut[k]:
             mine = np.sort(place[which[cut[k] : cut[k + 1]]]).astype("<u4")
-            yield (0, units[int(i)].as_py(), 0, len(mine), pack(mine), None, None)
+            yield (0, units[int(i)].as_py(), 0, len(mine), pack(mine))
 
 
 def _spans(before: int, after: int, shorter: int):
@@ -118,10 +120,9 @@ def _spans(before: int, after: int, shorter: int):
 
     def run(group: pa.Table) -> pa.Table:
         kind = group.column("kind").to_numpy()
-        own, said = np.flatnonzero(kind == 1), np.flatnonzero(kind != 1)
-        if not len(own) or not len(said):
+        said = np.flatnonzero(kind != 1)
+        if (own := own_of(kind)) is None:
             return ARROW_SPANS.empty_table()
-        own = int(own[0])
         ids, th, n = (unpack(group.column(c)[own].as_py(), "<i8") for c in "abc")
         place = unpack_all([group.column("a")[int(i)].as_py() for i in said], "<u4").astype(np.int64)
         first = np.cumsum(n) - n
@@ -157,27 +158,27 @@ def _windows(window: int, buckets: int):
     """The hash of each candidate window (spans: where they may start), with its text's id and place."""
 
     def run(batches):
+        number = count()
         for b in batches:
             spans = b.column("spans")
-            for rows, ids, th, n, first, h in _units(b, window):
-                key, own = unit_rows(ids, th, n, buckets)
+            for rows, ids, th, n, first, h, g in _units(b, window, checks=True):
+                key, own = unit_rows(next(number), ids, th, n, buckets)
                 at = []
                 for i in range(len(n)):
                     for s, e in np.frombuffer(spans[rows.start + i].as_py(), "<i4").reshape(-1, 2).tolist():
                         at.append(np.arange(first[i] + s, first[i] + e))
                 at = np.concatenate(at) if at else np.zeros(0, np.int64)
-                hw = window_hashes(h, window)[at]
-                order = np.argsort(hw)
-                hw, at = hw[order], at[order]
+                hw, gw = window_hashes(h, window)[at], window_hashes(g, window)[at]
+                order, cut = runs_of(hw, gw)
+                hw, gw, at = hw[order], gw[order], at[order]
                 own_id = ids[np.searchsorted(first + n, at, "right")]
                 # windows that an earlier id of the same unit has too are answered here
-                cut = np.flatnonzero(np.concatenate([[True], hw[1:] != hw[:-1]])) if len(hw) else np.zeros(0, int)
                 least = np.repeat(np.minimum.reduceat(own_id, cut), np.diff(np.concatenate([cut, [len(hw)]]))) if len(cut) else own_id
                 late = own_id > least
                 known = np.sort(at[late]).astype("<u4")
-                hw, place, own_id = hw[~late], at[~late].astype("<u4"), own_id[~late]
+                hw, gw, place, own_id = hw[~late], gw[~late], at[~late].astype("<u4"), own_id[~late]
                 bucket, _ = bucket_of(hw, buckets)
-                yield table([own, (key % buckets, key, 2, len(known), pack(known), None, None), *((k, key, 0, s.stop - s.start, pack(hw[s]), pack(place[s]), pack(own_id[s])) for k, s in parts(bucket))])
+                yield table([own, (key % buckets, key, 2, len(known), pack(known)), *((k, key, 0, s.stop - s.start, pack(hw[s]), pack(place[s]), pack(own_id[s]), pack(gw[s])) for k, s in parts(bucket))])
 
     return run
 
@@ -188,12 +189,10 @@ def _later(group: pa.Table) -> pa.Table:
     own, probe = np.flatnonzero(kind != 0), np.flatnonzero(kind == 0)
     out = [own_row(group, i) for i in own]
     if len(probe):
-        h, place, id = (unpack_all([group.column(c)[int(i)].as_py() for i in probe], t) for c, t in (("a", "<u8"), ("b", "<u4"), ("c", "<i8")))
+        h, place, id, g = (unpack_all([group.column(c)[int(i)].as_py() for i in probe], t) for c, t in (("a", "<u8"), ("b", "<u4"), ("c", "<i8"), ("d", "<u8")))
         at = np.cumsum([0, *group.column("n").to_numpy()[probe]])
-        order = np.argsort(h)
-        value = h[order]
-        cut = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-        least = np.repeat(np.minimum.reduceat(id[order], cut), np.diff(np.concatenate([cut, [len(value)]])))
+        order, cut = runs_of(h, g)
+        least = np.repeat(np.minimum.reduceat(id[order], cut), np.diff(np.concatenate([cut, [len(h)]])))
         out += _answers(group, probe, at, np.sort(order[id[order] > least]), place)
     return pa.Table.from_batches([table(out)], ARROW_ROW)
 
@@ -202,12 +201,13 @@ def repeated_spans(docs: DataFrame, window: int = 13, id: str = "doc_id", text:
     """(id, th, spans): for each text that has any, the maximal runs of words covered by windows that a smaller id has too.
 
     spans: pairs of 32-bit little-endian word positions [start, end); th: xxhash64 of the text, which tells repeated ids
-    apart. Null texts have no words; null ids come after all others. Texts shorter than a window have no spans.
+    apart. Null texts have no words; null ids come after all others. Texts shorter than a window have no spans. Ids are
+    whole numbers; other ids raise as Spark's cast does.
     """
     spark = docs.sparkSession
     ship(spark)
     block = (window + 1) // 2
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_for(docs, text, 1.5)  # about a sixth of a word a byte, nine bytes each
     own = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     probes = own.mapInArrow(_probe(window, block, buckets), ROW)
     answers = probes.groupBy("bucket").applyInArrow(_shared, ROW)

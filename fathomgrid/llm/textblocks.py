@@ -100,6 +100,24 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, run: int
     return out
 
 
+def word_checks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, run: int = 1 << 18) -> np.ndarray:
+    """A second 64-bit hash of each word, of another kind: the sum of scrambled values of its bytes and their places."""
+    out = np.empty(len(starts), U)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + run)))
+        s, e = starts[at:to] - starts[at], ends[at:to] - starts[at]
+        part = data[starts[at] : ends[to - 1]]
+        begin = np.zeros(len(part), np.int32)
+        begin[s] = s
+        inside = np.arange(len(part), dtype=np.int32) - np.maximum.accumulate(begin)
+        value = mix(BYTE[part] + inside.astype(U) * U(0x9E6C63D0876A9A47))
+        value[SPACE[part]] = 0
+        out[at:to] = mix(np.add.reduceat(value, s) ^ (e - s).astype(U))
+        at = to
+    return out
+
+
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive entries of h (len(h) - k + 1 of them), by doubling."""
     n = len(h) - k + 1
