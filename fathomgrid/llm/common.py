@@ -81,6 +81,13 @@ def new_shared_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of the shared ones; none if it is not there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession

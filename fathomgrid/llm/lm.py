@@ -1,10 +1,14 @@
 """An interpolated modified Kneser-Ney model of order two or three, counted in Spark, kept as sorted hash arrays that workers memory-map.
 
-Counting: each unit of texts counts its own bigrams of 64-bit word hashes; they meet by bucket (hash of the bigram, so a
-frequent context spreads over all buckets), where counts are added up and written to the shared folder as sorted arrays.
-Each bucket sends sums for its contexts and words on to word buckets, which write theirs likewise. What reaches the driver
-is one row: counts of counts and totals. Scoring is a map: a block's needles are sorted and looked up in the mapped arrays,
-so the model may be larger than memory. The arrays grow with the corpus; nothing is cut off.
+Counting: one pass counts the words, known by two hashes of different kinds (128 bits); each bucket writes its words as a sorted array,
+and a word's place in all of them is its number. A second pass counts each unit's n-grams of numbers, which sort and pack well, and
+deals them to buckets by their context, so that a bucket has whole contexts. Contexts of two frequent words (each with a bucket's share of all
+tokens or more) may be larger than a bucket: their n-grams are dealt by context and word, and only their sums meet again. Each bucket writes
+its contexts, sorted by a hash that is a bijection of their two numbers (so no two contexts share it), with their words and counts, and sends
+on what the order below needs. What reaches the driver is a row for each bucket of words and one of counts of counts and totals.
+
+Scoring is a map: a unit's needles are sorted and looked up in the mapped arrays, so the model may be larger than memory. The arrays
+grow with the corpus; nothing is cut off. The driver lists the arrays once they are written: a worker that misses one raises.
 
 The shared folder must be a path on the executors (a mounted share), or one that pyarrow's file systems open: then a
 worker fetches the arrays it looks into to its own disk while it runs.
@@ -13,8 +17,11 @@ worker fetches the arrays it looks into to its own disk while it runs.
 from __future__ import annotations
 
 import atexit
+import json
+import mmap
 import os
 import shutil
+import struct
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -22,21 +29,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, new_shared_path, others, ship
-from .exchange import pack, parts, unpack, unpack_all
-from .textblocks import LOWER, U, blocks, mix, word_hashes, word_spans
-
-UNIT = 4 << 20
-#: Words are known by the upper 56 bits of their hashes; bigrams by all 64 of theirs.
-WORD_BITS = U((1 << 64) - 256)
-START, END = mix(np.array([1, 2], U) * U(0xD1B54A32D192ED03)) & WORD_BITS
-COLUMNS = ["bucket", "n", "a", "b", "c", "d", "e", "f"]
-ROW = "bucket long, n long, a binary, b binary, c binary, d binary, e binary, f binary"
-ARROW_ROW = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in "abcdef")])
-STATS = ["tokens", "vocabulary", "bigrams", "n1", "n2", "n3", "n4", "k1", "k2", "k3", "k4", "k3plus", "t1", "t2", "t3", "t4"]
+from .common import list_names, load, new_shared_path, others, ship
+from .exchange import BUCKET_BYTES, pack, parts, runs_of, unpack
+from .textblocks import LOWER, U, blocks, mix, word_checks, word_hashes, word_spans
+
+UNIT = 8 << 20
+#: Tokens of a unit that are counted at once; their own numbers then take 21 bits.
+RUN = 1 << 20
+#: The end of a text as a word, by its two hashes; the start before a text and words not in the model, by number.
+END = mix(np.array([2, 3], U) * U(0xD1B54A32D192ED03))
+START, UNKNOWN = (1 << 32) - 1, (1 << 32) - 2
+COLUMNS = ["bucket", "n", "a", "b", "c", "d", "e"]
+ROW = "bucket long, n long, a binary, b binary, c binary, d binary, e binary"
+ARROW_ROW = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in "abcde")])
+WORDS = "bucket long, words long, tokens long"
+STATS = ["n1", "n2", "n3", "n4", "t1", "t2", "t3", "t4", "bigrams", "k1", "k2", "k3", "k4", "k3plus"]
 
 _open: dict = {}
 
@@ -46,218 +57,301 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), ARROW_ROW.types)], schema=ARROW_ROW) if rows else pa.RecordBatch.from_pylist([], ARROW_ROW)
 
 
-def bigram_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(v * U(0x9FB21C651E98DF25) + w)
+def _zip(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pack(x))
 
 
-def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, its predecessor, tokens of each text): word hashes with an END after each text, START before it."""
-    low = LOWER[data]
-    starts, ends, text = word_spans(low, offsets)
-    n = np.bincount(text, minlength=len(offsets) - 1)
-    stop = np.cumsum(n + 1)
-    token = np.full(int(stop[-1]), END, U)
-    token[np.arange(len(starts)) + text] = word_hashes(low, starts, ends) & WORD_BITS
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[stop - n - 1] = START
-    return token, before, n + 1
-
-
-def pairs_before(before: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The hash of the two predecessors of each token; START stands twice before each text of n tokens."""
-    earlier = np.empty_like(before)
-    earlier[1:] = before[:-1]
-    earlier[np.cumsum(n) - n] = START
-    return bigram_hash(earlier, before)
+def _unzip(group: pa.Table, column: str, kind: str) -> list[np.ndarray]:
+    d = zstandard.ZstdDecompressor()
+    return [unpack(d.decompress(b), kind) for b in group.column(column).to_pylist()]
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return (((h >> U(32)) * U(n)) >> U(32)).astype(np.int64)
 
 
-def summed(h: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The distinct hashes, sorted, and the sums of the columns over each."""
-    if not len(h):
-        return (h, *columns)
-    order = np.argsort(h)
-    h = h[order]
-    cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return (h[cut], *(np.add.reduceat(c[order], cut) for c in columns))
-
-
-def _count(buckets: int):
-    def run(batches):
-        for b in batches:
-            for _, data, offsets in blocks(b.column("text"), UNIT):
-                token, before, _ = tokens_of(data, offsets)
-                h = bigram_hash(before, token)
-                order = np.argsort(h)
-                cut = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-                count = np.diff(np.concatenate([cut, [len(h)]]))
-                v, w, bucket = before[order[cut]], token[order[cut]], bucket_of(h[order[cut]], buckets)
-                # inside a bucket by context, which packs well
-                by = np.lexsort((w, v, bucket))
-                v, w, count, bucket = v[by], w[by], count[by].astype("<u4"), bucket[by]
-                yield _rows([(k, s.stop - s.start, *_coded(v[s], w[s]), pack(count[s])) for k, s in parts(bucket)])
-
-    return run
+def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A bijection of two numbers of 32 bits."""
+    return mix(v.astype(U) << U(32) | w.astype(U))
 
 
-def _count_trigrams(buckets: int):
-    def run(batches):
-        for b in batches:
-            for _, data, offsets in blocks(b.column("text"), UNIT):
-                token, before, n = tokens_of(data, offsets)
-                pair = pairs_before(before, n)
-                h, place, count = np.unique(bigram_hash(pair, token), return_index=True, return_counts=True)
-                u, v, w, bucket = pair[place], before[place], token[place], bucket_of(h, buckets)
-                by = np.lexsort((w, u, bucket))
-                u, v, w, count, bucket = u[by], v[by], w[by], count[by].astype("<u4"), bucket[by]
-                # a context's last word stands once for its run, as the context does
-                for k, s in parts(bucket):
-                    first = np.flatnonzero(np.concatenate([[True], u[s][1:] != u[s][:-1]]))
-                    yield _rows([(k, s.stop - s.start, *_coded(u[s], w[s]), pack(count[s]), pack(v[s][first]))])
-
-    return run
+def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash and second hash of each distinct word, sorted; the place there of each token, an end after each text; tokens of each text)."""
+    low = LOWER[data]
+    starts, ends, text = word_spans(low, offsets)
+    h, g = (np.concatenate([f(low, starts, ends), END[k : k + 1]]) for k, f in enumerate((word_hashes, word_checks)))
+    order, cut = runs_of(h, g)
+    number = np.empty(len(h), np.int64)
+    number[order] = np.repeat(np.arange(len(cut)), np.diff(np.concatenate([cut, [len(h)]])))
+    n = np.bincount(text, minlength=len(offsets) - 1)
+    token = np.full(len(starts) + len(n), number[-1])
+    token[np.arange(len(starts)) + text] = number[:-1]
+    return h[order[cut]], g[order[cut]], token, n + 1
 
 
-def _coded(v: np.ndarray, w: np.ndarray) -> tuple[bytes, ...]:
-    """Bigrams sorted by context: each context once with its run, each word once and its number at each place."""
-    cut = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    words, number = np.unique(w, return_inverse=True)
-    return pack(v[cut]), pack(np.diff(np.concatenate([cut, [len(v)]])).astype("<u4")), pack(words), pack(number.astype("<u4"))
+def before(token: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
+    """The token before each one; start before each text."""
+    out = np.empty_like(token)
+    out[1:] = token[:-1]
+    out[np.cumsum(n) - n] = start
+    return out
 
 
-def _decoded(contexts: bytes, runs: bytes, words: bytes, number: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(unpack(contexts, "<u8"), unpack(runs, "<u4")), unpack(words, "<u8")[unpack(number, "<u4")]
+# ---- arrays in the shared folder ----
 
 
-def _save(folder: str, name: str, x: np.ndarray) -> None:
-    """Writes an array under a name that is there whole or not at all; a repeated task writes the same again."""
-    if x.dtype != np.dtype("<u8"):
-        x = x.astype(np.min_scalar_type(int(x.max(initial=0))))
+def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
+    """Writes arrays to one file, integers as short as they fit, under a name that is there whole or not at all; a repeated task writes the same again."""
+    arrays = {k: x if x.dtype == np.dtype("<u8") else x.astype(np.min_scalar_type(int(x.max(initial=0)))) for k, x in arrays.items()}
+    head = json.dumps([(k, x.dtype.str, len(x)) for k, x in arrays.items()]).encode()
+    head += b" " * (-(len(head) + 8) % 8)
     fs, path = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
     fs.create_dir(path)
     part = f"{path}/.{name}-{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as f:
-        np.lib.format.write_array(f, np.ascontiguousarray(x))
-    fs.move(part, f"{path}/{name}.npy")
+        f.write(struct.pack("<q", len(head)) + head)
+        for x in arrays.values():
+            f.write(x.tobytes() + bytes(-x.nbytes % 8))
+    fs.move(part, f"{path}/{name}")
 
 
-def _mapped(folder: str, name: str) -> np.ndarray:
+def _mapped(folder: str, name: str) -> dict[str, np.ndarray]:
+    """The arrays of a file, memory-mapped; a file that is not there is an error."""
     key = folder, name
     if key not in _open:
         fs, path = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
-        path = f"{path}/{name}.npy"
+        path = f"{path}/{name}"
         if not isinstance(fs, pyarrow.fs.LocalFileSystem):
             if "own" not in _open:
                 _open["own"] = tempfile.mkdtemp(prefix="fathomgrid-lm-")
                 atexit.register(shutil.rmtree, _open["own"], ignore_errors=True)
-            own = os.path.join(_open["own"], f"{abs(hash(folder))}-{name}.npy")
+            own = os.path.join(_open["own"], f"{abs(hash(folder))}-{name}")
             pyarrow.fs.copy_files(path, own, source_filesystem=fs, destination_filesystem=pyarrow.fs.LocalFileSystem())
             path = own
-        if fs.get_file_info(path).type == pyarrow.fs.FileType.NotFound and isinstance(fs, pyarrow.fs.LocalFileSystem):
-            _open[key] = np.zeros(0, U)
-        else:
-            _open[key] = np.load(path, mmap_mode="r")
+        with open(path, "rb") as f:
+            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+        (size,) = struct.unpack_from("<q", data)
+        at, out = 8 + size, {}
+        for k, kind, n in json.loads(data[8 : 8 + size]):
+            out[k] = np.frombuffer(data, kind, n, at)
+            at += -(-out[k].nbytes // 8) * 8
+        _open[key] = out
     return _open[key]
 
 
-def _trigrams(folder: str, buckets: int):
+# ---- words ----
+
+
+def _count_words(buckets: int):
+    def run(batches):
+        for b in batches:
+            for _, data, offsets in blocks(b.column("text"), UNIT):
+                h, g, token, _ = tokens_of(data, offsets)
+                count = np.bincount(token, minlength=len(h))
+                some = count > 0
+                h, g, count = h[some], g[some], count[some]
+                yield _rows([(k, s.stop - s.start, _zip(h[s]), _zip(g[s]), _zip(count[s])) for k, s in parts(bucket_of(h, buckets))])
+
+    return run
+
+
+def _words(folder: str):
+    schema = pa.schema([("bucket", pa.int64()), ("words", pa.int64()), ("tokens", pa.int64())])
+
     def run(group: pa.Table) -> pa.Table:
-        """Adds up a bucket's trigrams, writes them, and sends on sums by context and the bigrams that end them."""
+        """Writes a bucket's words, sorted by their hashes, and their counts."""
         bucket = group.column("bucket")[0].as_py()
-        own = [[group.column(c)[i].as_py() for c in "abcdf"] for i in range(group.num_rows)]
-        u, w = (np.concatenate(x) for x in zip(*(_decoded(*r[:4]) for r in own)))
-        v = np.concatenate([np.repeat(unpack(r[4], "<u8"), unpack(r[1], "<u4")) for r in own])
-        h, place = np.unique(bigram_hash(u, w), return_index=True)
-        _, count = summed(bigram_hash(u, w), unpack_all(group.column("e").to_pylist(), "<u4").astype(np.int64))
-        u, v, w = u[place], v[place], w[place]
-        _save(folder, f"trigram-{bucket}", h)
-        _save(folder, f"trigram-count-{bucket}", count)
-        out = [(-5 - s, int((count == k).sum())) for s, k in enumerate([1, 2, 3, 4])]
-        # bigrams count the words before them; nothing stands before START, so its bigrams keep their counts
-        h, place = np.unique(bigram_hash(v, w), return_index=True)
-        _, adjusted, raw = summed(bigram_hash(v, w), np.where(v == START, count, 1), count)
-        v, w, bigram_bucket = v[place], w[place], bucket_of(h, buckets)
-        by = np.lexsort((w, v, bigram_bucket))
-        v, w, adjusted, raw = v[by], w[by], adjusted[by].astype("<u4"), raw[by].astype("<u4")
-        for k, s in parts(bigram_bucket[by]):
-            out.append((2 * k + 1, s.stop - s.start, *_coded(v[s], w[s]), pack(adjusted[s]), pack(raw[s])))
-        u, total, n1, n2, n3 = summed(u, count, (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count >= 3).astype(np.int64))
-        for k, s in parts(bucket_of(u, buckets)):
-            out.append((2 * k, s.stop - s.start, pack(u[s]), pack(total[s]), pack(n1[s]), pack(n2[s]), pack(n3[s])))
-        return pa.Table.from_batches([_rows(out)], ARROW_ROW)
+        h, g, count = (np.concatenate(_unzip(group, c, t)) for c, t in zip("abc", ("<u8", "<u8", "<i8")))
+        order, cut = runs_of(h, g)
+        count = np.add.reduceat(count[order], cut)
+        _save(folder, f"word-{bucket}", hash=h[order[cut]], check=g[order[cut]], count=count)
+        return pa.table({"bucket": [bucket], "words": [len(cut)], "tokens": [int(count.sum())]}, schema)
+
+    return run
+
+
+@dataclass(frozen=True)
+class Words:
+    """The words' arrays: base has the number of each bucket's first word, and how many there are at its end."""
+
+    folder: str
+    base: tuple[int, ...]
+    tokens: int
+
+    def find(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number, count) of words by their hashes, sorted; UNKNOWN and 0 if not in the model."""
+        number, count = np.full(len(h), UNKNOWN), np.zeros(len(h), np.int64)
+        for k, s in parts(bucket_of(h, len(self.base) - 1)):
+            if self.base[k] == self.base[k + 1]:
+                continue
+            own = _mapped(self.folder, f"word-{k}")
+            at = np.searchsorted(own["hash"], h[s])
+            while True:  # several words may share the first hash
+                inside = np.minimum(at, len(own["hash"]) - 1)
+                alike = (at < len(own["hash"])) & (own["hash"][inside] == h[s])
+                found = alike & (own["check"][inside] == g[s])
+                if not (alike & ~found).any():
+                    break
+                at = at + (alike & ~found)
+            number[s] = np.where(found, inside + self.base[k], UNKNOWN)
+            count[s] = np.where(found, own["count"][inside], 0)
+        return number, count
+
+
+# ---- n-grams ----
+
+
+def _coded(bucket: np.ndarray, u: np.ndarray, v: np.ndarray | None, w: np.ndarray, count: np.ndarray):
+    """Rows of n-grams sorted by bucket, context (u, or u and v) and word: each context once with its run."""
+    for k, s in parts(bucket):
+        new = u[s][1:] != u[s][:-1]
+        if v is not None:
+            new = new | (v[s][1:] != v[s][:-1])
+        cut = np.flatnonzero(np.concatenate([[True], new]))
+        first = u[s][cut]
+        yield k, s.stop - s.start, _zip(np.diff(first, prepend=0).astype("<u4")), None if v is None else _zip(v[s][cut].astype("<u4")), _zip(np.diff(np.concatenate([cut, [s.stop - s.start]])).astype("<u4")), _zip(w[s].astype("<u4")), _zip(count[s].astype("<i8"))
+
+
+def _decoded(group: pa.Table, pairs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, count) of a bucket's rows summed up, sorted by the context's hash and the word. Context: one number, or two in 64 bits."""
+    runs = _unzip(group, "c", "<u4")
+    context = [np.cumsum(x, dtype=np.int64).astype(U) for x in _unzip(group, "a", "<u4")]
+    if pairs:
+        context = [x << U(32) | y.astype(U) for x, y in zip(context, _unzip(group, "b", "<u4"))]
+    context = np.concatenate([np.repeat(x, n) for x, n in zip(context, runs)])
+    w, count = np.concatenate(_unzip(group, "d", "<u4")), np.concatenate(_unzip(group, "e", "<i8"))
+    order = np.lexsort((w, mix(context)))
+    context, w = context[order], w[order]
+    cut = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (w[1:] != w[:-1])]))
+    return context[cut], w[cut], np.add.reduceat(count[order], cut)
+
+
+def _count_grams(words: Words, order: int, buckets: int):
+    many = frequent_from(words, buckets)
+
+    def run(batches):
+        for b in batches:
+            for _, data, offsets in blocks(b.column("text"), UNIT):
+                h, g, token, n = tokens_of(data, offsets)
+                number, times = words.find(h, g)
+                number, frequent = np.append(number, START), np.append(times >= many, True)
+                one = before(token, n, len(h))
+                two = before(one, n, len(h))
+                for at in range(0, len(token), RUN):
+                    u, v, w = two[at : at + RUN], one[at : at + RUN], token[at : at + RUN]
+                    # the run's own numbers, in the words' order
+                    own, local = np.unique(np.concatenate([u, v, w]), return_inverse=True)
+                    local = local.reshape(3, -1).astype(U)
+                    key = local[1] << U(21) | local[2]
+                    if order == 3:
+                        key |= local[0] << U(42)
+                    key, count = np.unique(key, return_counts=True)
+                    u, v, w = (own[(key >> U(i) & U((1 << 21) - 1)).astype(np.int64)] for i in (42, 21, 0))
+                    if order == 3:
+                        spread = frequent[u] & frequent[v]
+                        code = 2 * gram_bucket(pair_hash(number[u], number[v]), number[w], spread, buckets) + spread
+                    else:
+                        code = 2 * bucket_of(pair_hash(number[v], number[w]), buckets) + 1
+                    by = np.argsort(code.astype(np.uint16) if buckets < 1 << 15 else code, kind="stable")
+                    u, v, w, count, code = number[u[by]], number[v[by]], number[w[by]], count[by], code[by]
+                    yield _rows(list(_coded(code, u, v, w, count) if order == 3 else _coded(code, v, None, w, count)))
 
     return run
 
 
-def _pairs(folder: str, buckets: int, word_buckets: int):
-    bigrams = _bigrams(folder, buckets, word_buckets)
+def frequent_from(words: Words, buckets: int) -> float:
+    """A word is frequent if it has so many tokens."""
+    return max(words.tokens / buckets, 2)
+
+
+def gram_bucket(context: np.ndarray, w: np.ndarray, spread: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of trigrams by their context's hash, or by that and the word where spread says so."""
+    return bucket_of(np.where(spread, mix(context + w.astype(U)), context), buckets)
+
+
+def _sums(context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first entry, tokens, words seen once, twice, three times or more) of each run of a context."""
+    cut = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    return cut, *(np.add.reduceat(x.astype(np.int64), cut) for x in (count, count == 1, count == 2, count >= 3))
+
 
+def _trigrams(folder: str, buckets: int):
     def run(group: pa.Table) -> pa.Table:
-        """Writes a bucket of contexts of two words, or counts a bucket of bigrams; counts of counts pass."""
-        bucket = group.column("bucket")[0].as_py()
-        if bucket < 0:
-            return group
-        if bucket % 2:
-            return bigrams(group.set_column(0, "bucket", pa.array([bucket // 2] * group.num_rows, pa.int64())))
-        h, *sums = summed(*(unpack_all(group.column(c).to_pylist(), t) for c, t in zip("abcde", ["<u8", *["<i8"] * 4])))
-        _save(folder, f"pair-{bucket // 2}", h)
-        for k, x in enumerate(sums):
-            _save(folder, f"pair-{bucket // 2}-{k}", x)
-        return pa.Table.from_batches([_rows([])], ARROW_ROW)
+        """Adds up a bucket's trigrams, writes them, and sends on the bigrams that end them and, of contexts that are spread, their sums."""
+        bucket, spread = divmod(group.column("bucket")[0].as_py(), 2)
+        context, w, count = _decoded(group, True)
+        cut, *sums = _sums(context, count)
+        total, n1, n2, n3 = sums
+        h = mix(context[cut])
+        own = {} if spread else {"total": total, "n1": n1, "n2": n2, "n3": n3}
+        _save(folder, f"{'spread' if spread else 'trigram'}-{bucket}", context=h, start=np.append(cut, len(w)), word=w, count=count, **own)
+        out = [(-5 - s, int((count == k).sum())) for s, k in enumerate([1, 2, 3, 4])]
+        if spread:
+            out += [(2 * k, s.stop - s.start, _zip(h[s]), *(_zip(x[s]) for x in sums)) for k, s in parts(bucket_of(h, buckets))]
+        # bigrams count the words before them; nothing stands before START, so its bigrams keep their counts
+        v = (context & U(0xFFFFFFFF)).astype(np.int64)
+        seen = np.where(v == START, count, 1)
+        order = np.lexsort((w, v, bucket_of(pair_hash(v, w), buckets)))
+        v, w, seen = v[order], w[order], seen[order]
+        cut = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+        v, w, seen = v[cut], w[cut], np.add.reduceat(seen, cut)
+        out += _coded(2 * bucket_of(pair_hash(v, w), buckets) + 1, v, None, w, seen)
+        return pa.Table.from_batches([_rows(out)], ARROW_ROW)
 
     return run
 
 
-def _bigrams(folder: str, buckets: int, word_buckets: int):
+def _bigrams(folder: str, base: np.ndarray):
     def run(group: pa.Table) -> pa.Table:
-        """Adds up a bucket's bigrams, writes them, and sends on sums by context and by word. Column f: their own counts, where e has others."""
-        bucket = group.column("bucket")[0].as_py()
-        pairs = [_decoded(*(group.column(c)[i].as_py() for c in "abcd")) for i in range(group.num_rows)]
-        v, w = (np.concatenate(x) for x in zip(*pairs))
-        count = unpack_all(group.column("e").to_pylist(), "<u4").astype(np.int64)
-        raw = count if group.column("f")[0].as_py() is None else unpack_all(group.column("f").to_pylist(), "<u4").astype(np.int64)
-        h, place = np.unique(bigram_hash(v, w), return_index=True)
-        _, count, raw = summed(bigram_hash(v, w), count, raw)
-        v, w = v[place], w[place]
-        _save(folder, f"bigram-{bucket}", h)
-        _save(folder, f"bigram-count-{bucket}", count)
-        one = np.ones(len(v), np.int64)
-        v, total, n1, n2, n3 = summed(v, count, (count == 1).astype(np.int64), (count == 2).astype(np.int64), (count >= 3).astype(np.int64))
-        w, follows, times = summed(w, one, raw)
-        out = [(-1 - s, s0) for s, s0 in enumerate([int((count == k).sum()) for k in (1, 2, 3, 4)])]
-        for k, s in parts(bucket_of(v, word_buckets)):
-            out.append((2 * k, s.stop - s.start, pack(v[s]), pack(total[s]), pack(n1[s]), pack(n2[s]), pack(n3[s])))
-        for k, s in parts(bucket_of(w, word_buckets)):
-            out.append((2 * k + 1, s.stop - s.start, pack(w[s]), pack(follows[s]), pack(times[s])))
+        """Adds up a bucket's bigrams, writes them, and sends on sums by context and by word; or writes the sums of spread contexts; counts of counts pass."""
+        code = group.column("bucket")[0].as_py()
+        if code < 0:
+            return group
+        bucket, bigrams = divmod(code, 2)
+        if not bigrams:
+            h, *sums = (np.concatenate(_unzip(group, c, t)) for c, t in zip("abcde", ("<u8", *["<i8"] * 4)))
+            order = np.argsort(h)
+            cut = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+            _save(folder, f"sums-{bucket}", context=h[order][cut], **{k: np.add.reduceat(x[order], cut) for k, x in zip(("total", "n1", "n2", "n3"), sums)})
+            return pa.Table.from_batches([_rows([])], ARROW_ROW)
+        v, w, count = _decoded(group, False)
+        h = pair_hash(v, w)
+        order = np.argsort(h)
+        _save(folder, f"bigram-{bucket}", gram=h[order], count=count[order])
+        out = [(-1 - s, int((count == k).sum())) for s, k in enumerate([1, 2, 3, 4])]
+        cut, *sums = _sums(v, count)
+        v = v[cut].astype(np.int64)
+        by = np.argsort(v)
+        v, sums = v[by], [x[by] for x in sums]
+        out += [(2 * k, s.stop - s.start, _zip(v[s]), *(_zip(x[s]) for x in sums)) for k, s in parts(np.searchsorted(base, v, "right") - 1)]
+        w, follows = np.unique(w, return_counts=True)
+        out += [(2 * k + 1, s.stop - s.start, _zip(w[s].astype("<i8")), _zip(follows[s])) for k, s in parts(np.searchsorted(base, w, "right") - 1)]
         return pa.Table.from_batches([_rows(out)], ARROW_ROW)
 
     return run
 
 
-def _words(folder: str):
+def _by_word(folder: str, base: np.ndarray):
     kinds = ", ".join(f"{c} long" for c in STATS)
     schema = pa.schema([(c, pa.int64()) for c in STATS])
 
     def run(group: pa.Table) -> pa.Table:
-        bucket = group.column("bucket")[0].as_py()
+        """Writes the sums of a bucket of words, at the words' places; counts of counts are added up."""
+        code = group.column("bucket")[0].as_py()
         stats = dict.fromkeys(STATS, 0)
-        if bucket < 0:
-            stats[f"n{-bucket}" if bucket > -5 else f"t{-4 - bucket}"] = sum(group.column("n").to_pylist())
+        if code < 0:
+            stats[f"n{-code}" if code > -5 else f"t{-4 - code}"] = sum(group.column("n").to_pylist())
         else:
-            kinds = "<u8", *["<i8"] * (4 if bucket % 2 == 0 else 2)
-            h, *sums = summed(*(unpack_all(group.column(c).to_pylist(), t) for c, t in zip("abcde", kinds)))
-            name = f"{'context' if bucket % 2 == 0 else 'word'}-{bucket // 2}"
-            _save(folder, name, h)
-            for k, x in enumerate(sums):
-                _save(folder, f"{name}-{k}", x)
-            if bucket % 2:
-                follows, times = sums
-                stats |= {"tokens": int(times.sum()), "vocabulary": len(h), "bigrams": int(follows.sum()), "k3plus": int((follows >= 3).sum())}
-                stats |= {f"k{k}": int((follows == k).sum()) for k in (1, 2, 3, 4)}
+            bucket, follows = divmod(code, 2)
+            v, *sums = (np.concatenate(_unzip(group, c, "<i8")) for c in ("ab" if follows else "abcde"))
+            first, size = (base[bucket], base[bucket + 1] - base[bucket]) if bucket < len(base) - 1 else (START, 1)
+            dense = [np.zeros(size, np.int64) for _ in sums]
+            for x, y in zip(dense, sums):
+                np.add.at(x, v - first, y)
+            _save(folder, f"{'follows' if follows else 'context'}-{bucket}", **dict(zip(("total", "n1", "n2", "n3"), dense)))
+            if follows:
+                stats |= {"bigrams": int(dense[0].sum()), "k3plus": int((dense[0] >= 3).sum())}
+                stats |= {f"k{k}": int((dense[0] == k).sum()) for k in (1, 2, 3, 4)}
         return pa.table({c: [stats[c]] for c in STATS}, schema)
 
     return run, kinds
@@ -270,58 +364,128 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05 * k), 0.95 * k) for k, x in enumerate(d, 1))])
 
 
+def _within(sorted_words: np.ndarray, lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The place of each w in its sorted stretch [lo, hi); -1 if it is not there."""
+    at, stop = lo.copy(), hi.copy()
+    open_ = np.flatnonzero(at < stop)
+    while len(open_):
+        middle = (at[open_] + stop[open_]) >> 1
+        less = sorted_words[middle] < w[open_]
+        at[open_[less]] = middle[less] + 1
+        stop[open_[~less]] = middle[~less]
+        open_ = open_[at[open_] < stop[open_]]
+    place = np.minimum(at, len(sorted_words) - 1)
+    return np.where((at < hi) & (sorted_words[place] == w), place, -1)
+
+
+def _places(keys: np.ndarray, needles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, found) of needles in sorted keys."""
+    at = np.minimum(np.searchsorted(keys, needles), len(keys) - 1)
+    return at, keys[at] == needles
+
+
 @dataclass(frozen=True)
 class Model:
-    """Where the arrays are, their buckets, and the totals."""
+    """Where the arrays are, which there are, and the totals."""
 
-    folder: str
+    words: Words
     buckets: int
-    word_buckets: int
     stats: dict
+    files: frozenset
     order: int = 2
 
-    def look(self, kind: str, h: np.ndarray, columns: int) -> list[np.ndarray]:
-        """The columns of each hash, 0 where it is not in the model. h: sorted."""
-        out = [np.zeros(len(h), np.int64) for _ in range(columns)]
-        for k, s in parts(bucket_of(h, self.buckets if kind in ("bigram", "trigram", "pair") else self.word_buckets)):
-            keys = _mapped(self.folder, f"{kind}-{k}")
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, h[s]), len(keys) - 1)
-                found = keys[at] == h[s]
-                for c, o in enumerate(out):
-                    name = f"{kind}-count-{k}" if kind in ("bigram", "trigram") else f"{kind}-{k}-{c}"
-                    o[s][found] = _mapped(self.folder, name)[at[found]]
+    def arrays(self, name: str) -> dict[str, np.ndarray] | None:
+        """A file's arrays; None if the counting wrote none of this name."""
+        return _mapped(self.words.folder, name) if name in self.files else None
+
+    def by_number(self, kind: str, number: np.ndarray) -> list[np.ndarray]:
+        """What a kind of array has for each word by number, sorted; 0 for words not in the model."""
+        out = [np.zeros(len(number), np.int64) for _ in range(1 if kind == "follows" else 4)]
+        base = np.array(self.words.base)
+        known = np.flatnonzero(number != UNKNOWN)
+        for k, s in parts(np.searchsorted(base, number[known], "right") - 1):
+            if (own := self.arrays(f"{kind}-{k}")) is not None:
+                at = number[known[s]] - (base[k] if k < len(base) - 1 else START)
+                for x, y in zip(out, own.values()):
+                    x[known[s]] = y[at]
+        return out
+
+    def bigrams(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The count of each bigram of numbers."""
+        h = pair_hash(v, w)
+        order = np.argsort(h)
+        out = np.zeros(len(h), np.int64)
+        for k, s in parts(bucket_of(h[order], self.buckets)):
+            if (own := self.arrays(f"bigram-{k}")) is not None:
+                at, found = _places(own["gram"], h[order[s]])
+                out[order[s]] = np.where(found, own["count"][at], 0)
         return out
 
-    def interpolated(self, p: np.ndarray, token: np.ndarray, context: np.ndarray, kinds: tuple[str, str], counts: str) -> np.ndarray:
-        """p of the order below, where a token's context is in the model mixed with the discounted share of its n-gram there."""
-        v, on = np.unique(context, return_inverse=True)
-        seen, n1, n2, n3 = self.look(kinds[0], v, 4)
-        h, gram = np.unique(bigram_hash(context, token), return_inverse=True)
-        (count,) = self.look(kinds[1], h, 1)
+    def trigrams(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(count of each trigram, sums of its context: tokens, and words seen once, twice, three times or more)."""
+        context = pair_hash(u, v)
+        code = 2 * gram_bucket(context, w, spread, self.buckets) + spread
+        order = np.lexsort((context, code))
+        count, sums = np.zeros(len(u), np.int64), [np.zeros(len(u), np.int64) for _ in range(4)]
+        names = "total", "n1", "n2", "n3"
+        for code_, s in parts(code[order]):
+            k, far = divmod(code_, 2)
+            if (own := self.arrays(f"{'spread' if far else 'trigram'}-{k}")) is None:
+                continue
+            mine = order[s]
+            at, found = _places(own["context"], context[mine])
+            mine, at = mine[found], at[found]
+            start = own["start"].astype(np.int64)
+            place = _within(own["word"], start[at], start[at + 1], w[mine])
+            count[mine] = np.where(place >= 0, own["count"][place], 0)
+            if not far:
+                for x, name in zip(sums, names):
+                    x[mine] = own[name][at]
+        far = np.flatnonzero(spread)
+        far = far[np.argsort(context[far])]
+        for k, s in parts(bucket_of(context[far], self.buckets)):
+            if (own := self.arrays(f"sums-{k}")) is not None:
+                at, found = _places(own["context"], context[far[s]])
+                for x, name in zip(sums, names):
+                    x[far[s]] = np.where(found, own[name][at], 0)
+        return count, sums
+
+    def mixed(self, counts: str, count: np.ndarray, sums: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+        """p of the order below, mixed with the discounted share of the n-gram in its context where the model has that context."""
         d = discounts(*(self.stats[f"{counts}{k}"] for k in (1, 2, 3, 4)))
-        own = np.maximum(count - d[np.minimum(count, 3)], 0)[gram]
-        left = d[1] * n1 + d[2] * n2 + d[3] * n3
-        tokens = np.maximum(seen, 1)[on]
-        return np.where(seen[on] > 0, own / tokens + left[on] / tokens * p, p)
+        total, n1, n2, n3 = sums
+        tokens = np.maximum(total, 1)
+        own = np.maximum(count - d[np.minimum(count, 3)], 0)
+        return np.where(total > 0, own / tokens + (d[1] * n1 + d[2] * n2 + d[3] * n3) / tokens * p, p)
 
-    def logs(self, token: np.ndarray, before: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(known, base log10, log10 probability) of each token after its predecessors; n: tokens of each text."""
+    def logs(self, h: np.ndarray, g: np.ndarray, token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known, base log10, log10 probability) of each token of a unit (see tokens_of)."""
         s = self.stats
-        size, total = s["vocabulary"], s["tokens"]
-        w, at = np.unique(token, return_inverse=True)
-        follows, times = self.look("word", w, 2)
-        base = np.log10((times + 0.5) / (total + 0.5 * (size + 1)))[at]
+        size, total = self.words.base[-1], self.words.tokens
+        number, times = self.words.find(h, g)
+        base = np.log10((times + 0.5) / (total + 0.5 * (size + 1)))
+        (follows,) = self.by_number("follows", number)
         d = discounts(s["k1"], s["k2"], s["k3"], s["k4"])
         if s["bigrams"]:
             back = (d[1] * s["k1"] + d[2] * s["k2"] + d[3] * s["k3plus"]) / s["bigrams"]
-            p = (np.maximum(follows - d[np.minimum(follows, 3)], 0) / s["bigrams"] + back / (size + 1))[at]
+            p = np.maximum(follows - d[np.minimum(follows, 3)], 0) / s["bigrams"] + back / (size + 1)
         else:
-            p = np.full(len(token), 1 / (size + 1))
-        p = self.interpolated(p, token, before, ("context", "bigram"), "n")
+            p = np.full(len(h), 1 / (size + 1))
+        one = before(token, n, len(h))
+        number, frequent = np.append(number, START), np.append(times >= frequent_from(self.words, self.buckets), True)
+        gram, at = np.unique(one.astype(U) << U(32) | token.astype(U), return_inverse=True)
+        v, w = (gram >> U(32)).astype(np.int64), (gram & U(0xFFFFFFFF)).astype(np.int64)
+        sums = [x[v] for x in self.by_number("context", number)]
+        p = self.mixed("n", self.bigrams(number[v], number[w]), sums, p[w])
         if self.order == 3:
-            p = self.interpolated(p, token, pairs_before(before, n), ("pair", "trigram"), "t")
-        return (times > 0)[at], base, np.log10(p)
+            two = before(one, n, len(h))
+            # a trigram is its first word and its bigram's place
+            gram, at = np.unique(two.astype(U) << U(32) | at.astype(U), return_inverse=True)
+            u, low = (gram >> U(32)).astype(np.int64), (gram & U(0xFFFFFFFF)).astype(np.int64)
+            v, w = v[low], w[low]
+            count, sums = self.trigrams(number[u], number[v], number[w], frequent[u] & frequent[v])
+            p = self.mixed("t", count, sums, p[low])
+        return (times > 0)[token], base[token], np.log10(p)[at]
 
 
 def fit(texts: DataFrame, text: str = "text", order: int = 2) -> Model:
@@ -330,19 +494,28 @@ def fit(texts: DataFrame, text: str = "text", order: int = 2) -> Model:
         raise ValueError("order is 2 or 3")
     spark = texts.sparkSession
     ship(spark)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    word_buckets = -(-buckets // 8)  # words are far fewer than bigrams; each bucket of bigrams sends two rows to each
     folder = new_shared_path(spark, "lm")
-    run, kinds = _words(folder)
-    counted, pairs = texts.select(F.col(text).alias("text")), _bigrams(folder, buckets, word_buckets)
-    if order == 3:
-        counted = counted.mapInArrow(_count_trigrams(buckets), ROW).groupBy("bucket").applyInArrow(_trigrams(folder, buckets), ROW)
-        pairs = _pairs(folder, buckets, word_buckets)
-    else:
-        counted = counted.mapInArrow(_count(buckets), ROW)
-    counted = counted.groupBy("bucket").applyInArrow(pairs, ROW)
-    stats = counted.groupBy("bucket").applyInArrow(run, kinds).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STATS)).first()
-    return Model(folder, buckets, word_buckets, stats.asDict(), order)
+    own = texts.select(F.col(text).alias("text"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    word_buckets = max(8, partitions // 4)
+    found = own.mapInArrow(_count_words(word_buckets), ROW).groupBy("bucket").applyInArrow(_words(folder), WORDS).collect()  # a row for each bucket
+    size = np.zeros(word_buckets + 1, np.int64)
+    for r in found:
+        size[r.bucket + 1] = r.words
+    base = np.cumsum(size)
+    if base[-1] >= UNKNOWN:
+        raise ValueError("more distinct words than numbers")
+    words = Words(folder, tuple(base.tolist()), sum(r.tokens for r in found))
+    stats = dict.fromkeys(STATS, 0)
+    buckets = max(partitions, words.tokens * 16 // BUCKET_BYTES)
+    if words.tokens:
+        run, kinds = _by_word(folder, base)
+        counted = own.mapInArrow(_count_grams(words, order, buckets), ROW)
+        if order == 3:
+            counted = counted.groupBy("bucket").applyInArrow(_trigrams(folder, buckets), ROW)
+        counted = counted.groupBy("bucket").applyInArrow(_bigrams(folder, base), ROW)
+        stats = counted.groupBy("bucket").applyInArrow(run, kinds).agg(*(F.sum(c).alias(c) for c in STATS)).first().asDict()
+    return Model(words, buckets, stats, frozenset(list_names(spark, folder)), order)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -350,7 +523,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Null text is empty: one END. Words not in the model share the mass of one unknown word; all scores are finite. Other
     columns may hold null and are passed on; repeated rows give repeated rows; an empty table an empty one. A model of
-    no texts gives every token probability 1 at the base and 1 / (V + 1) = 1.
+    no texts gives every token probability 1 at the base and 1 / (V + 1) = 1. Arrays of the model that cannot be read raise.
     """
     ship(docs.sparkSession)
     types = {"_n_tokens": "long", "_n_known": "long", "_train_tokens": "long", "_base_score": "double", "_score": "double", "_perplexity": "double"}
@@ -360,11 +533,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for b in batches:
             made: list[list] = [[] for _ in types]
             for _, data, offsets in blocks(b.column(text), UNIT):
-                token, before, n = tokens_of(data, offsets)
-                known, base, p = model.logs(token, before, n)
+                h, g, token, n = tokens_of(data, offsets)
+                known, base, p = model.logs(h, g, token, n)
                 cut = np.cumsum(n) - n
                 total = np.add.reduceat(p, cut)
-                for m, x in zip(made, (n, np.add.reduceat(known.astype(np.int64), cut), np.full(len(n), model.stats["tokens"]), np.add.reduceat(base, cut), total, 10 ** (-total / n))):
+                for m, x in zip(made, (n, np.add.reduceat(known.astype(np.int64), cut), np.full(len(n), model.words.tokens), np.add.reduceat(base, cut), total, 10 ** (-total / n))):
                     m.append(x)
             made = [np.concatenate(m) if m else np.zeros(0) for m in made]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *(pa.array(m, pa.int64() if t == "long" else pa.float64()) for m, t in zip(made, types.values()))], [*rest, *types])
