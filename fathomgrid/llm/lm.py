@@ -1,11 +1,12 @@
 """An interpolated modified Kneser-Ney model of order two or three, counted in Spark, kept as sorted hash arrays that workers memory-map.
 
-Counting: one pass counts the words, known by two hashes of different kinds (128 bits); each bucket writes its words as a sorted array,
+Counting: one pass counts the words, known by two hashes of different kinds (96 bits); each bucket writes its words as a sorted array,
 and a word's place in all of them is its number. A second pass counts each unit's n-grams of numbers, which sort and pack well, and
 deals them to buckets by their context, so that a bucket has whole contexts. Contexts of two frequent words (each with a bucket's share of all
 tokens or more) may be larger than a bucket: their n-grams are dealt by context and word, and only their sums meet again. Each bucket writes
 its contexts, sorted by a hash that is a bijection of their two numbers (so no two contexts share it), with their words and counts, and sends
-on what the order below needs. What reaches the driver is a row for each bucket of words and one of counts of counts and totals.
+on what the order below needs. Contexts with one word seen once, most of them, are arrays of their own without counts; a bigram that is a
+context too has its count beside it. What reaches the driver is a row for each bucket of words and one of counts of counts and totals.
 
 Scoring is a map: a unit's needles are sorted and looked up in the mapped arrays, so the model may be larger than memory. The arrays
 grow with the corpus; nothing is cut off. The driver lists the arrays once they are written: a worker that misses one raises.
@@ -42,10 +43,14 @@ UNIT = 8 << 20
 RUN = 1 << 20
 #: The end of a text as a word, by its two hashes; the start before a text and words not in the model, by number.
 END = mix(np.array([2, 3], U) * U(0xD1B54A32D192ED03))
+#: Of a word's second hash 32 bits are kept: words are known by 96.
+CHECK = U(0xFFFFFFFF)
 START, UNKNOWN = (1 << 32) - 1, (1 << 32) - 2
 COLUMNS = ["bucket", "n", "a", "b", "c", "d", "e"]
 ROW = "bucket long, n long, a binary, b binary, c binary, d binary, e binary"
 ARROW_ROW = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in "abcde")])
+SUMS = "total", "n1", "n2", "n3"
+COUNTS = {"count", "lone_count", "context_count", "total", "n1", "n2", "n3"}
 WORDS = "bucket long, words long, tokens long"
 STATS = ["n1", "n2", "n3", "n4", "t1", "t2", "t3", "t4", "bigrams", "k1", "k2", "k3", "k4", "k3plus"]
 
@@ -75,18 +80,32 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v.astype(U) << U(32) | w.astype(U))
 
 
+def numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct values, sorted; the place there of each entry), by a hash table."""
+    d = pa.array(h).dictionary_encode()
+    values = d.dictionary.to_numpy()
+    order = np.argsort(values)
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    return values[order], rank[d.indices.to_numpy()]
+
+
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash and second hash of each distinct word, sorted; the place there of each token, an end after each text; tokens of each text)."""
     low = LOWER[data]
     starts, ends, text = word_spans(low, offsets)
     h, g = (np.concatenate([f(low, starts, ends), END[k : k + 1]]) for k, f in enumerate((word_hashes, word_checks)))
-    order, cut = runs_of(h, g)
-    number = np.empty(len(h), np.int64)
-    number[order] = np.repeat(np.arange(len(cut)), np.diff(np.concatenate([cut, [len(h)]])))
+    one, number = numbered(h)
+    two = np.empty_like(one)
+    two[number] = g
+    if (two[number] != g).any():  # two words share their first hash
+        order, cut = runs_of(h, g)
+        number[order] = np.repeat(np.arange(len(cut)), np.diff(np.concatenate([cut, [len(h)]])))
+        one, two = h[order[cut]], g[order[cut]]
     n = np.bincount(text, minlength=len(offsets) - 1)
     token = np.full(len(starts) + len(n), number[-1])
     token[np.arange(len(starts)) + text] = number[:-1]
-    return h[order[cut]], g[order[cut]], token, n + 1
+    return one, two & CHECK, token, n + 1
 
 
 def before(token: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
@@ -100,9 +119,27 @@ def before(token: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
 # ---- arrays in the shared folder ----
 
 
+def _shortened(name: str, x: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts in a byte each, and where these are few the larger ones apart with their places; other integers as short as they fit."""
+    if x.dtype == np.dtype("<u8"):
+        return {name: x}
+    if name in COUNTS and (large := np.flatnonzero(x >= 255)).size * 8 < len(x) and len(large):
+        return {name: np.minimum(x, 255).astype(np.uint8), f"{name}_at": large.astype("<u4"), f"{name}_large": x[large].astype(np.min_scalar_type(int(x.max())))}
+    return {name: x.astype(np.min_scalar_type(int(x.max(initial=0))))}
+
+
+def _get(own: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    """Entries of an array that _save wrote."""
+    x = own[name][at].astype(np.int64)
+    if f"{name}_at" in own:
+        large = np.flatnonzero(x == 255)
+        x[large] = own[f"{name}_large"][np.searchsorted(own[f"{name}_at"], at[large])]
+    return x
+
+
 def _save(folder: str, name: str, **arrays: np.ndarray) -> None:
-    """Writes arrays to one file, integers as short as they fit, under a name that is there whole or not at all; a repeated task writes the same again."""
-    arrays = {k: x if x.dtype == np.dtype("<u8") else x.astype(np.min_scalar_type(int(x.max(initial=0)))) for k, x in arrays.items()}
+    """Writes arrays to one file under a name that is there whole or not at all; a repeated task writes the same again."""
+    arrays = {k: y for name_, x in arrays.items() for k, y in _shortened(name_, x).items()}
     head = json.dumps([(k, x.dtype.str, len(x)) for k, x in arrays.items()]).encode()
     head += b" " * (-(len(head) + 8) % 8)
     fs, path = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
@@ -150,7 +187,7 @@ def _count_words(buckets: int):
                 count = np.bincount(token, minlength=len(h))
                 some = count > 0
                 h, g, count = h[some], g[some], count[some]
-                yield _rows([(k, s.stop - s.start, _zip(h[s]), _zip(g[s]), _zip(count[s])) for k, s in parts(bucket_of(h, buckets))])
+                yield _rows([(k, s.stop - s.start, _zip(h[s]), _zip(g[s].astype("<u4")), _zip(count[s])) for k, s in parts(bucket_of(h, buckets))])
 
     return run
 
@@ -161,7 +198,7 @@ def _words(folder: str):
     def run(group: pa.Table) -> pa.Table:
         """Writes a bucket's words, sorted by their hashes, and their counts."""
         bucket = group.column("bucket")[0].as_py()
-        h, g, count = (np.concatenate(_unzip(group, c, t)) for c, t in zip("abc", ("<u8", "<u8", "<i8")))
+        h, g, count = (np.concatenate(_unzip(group, c, t)) for c, t in zip("abc", ("<u8", "<u4", "<i8")))
         order, cut = runs_of(h, g)
         count = np.add.reduceat(count[order], cut)
         _save(folder, f"word-{bucket}", hash=h[order[cut]], check=g[order[cut]], count=count)
@@ -194,7 +231,7 @@ class Words:
                     break
                 at = at + (alike & ~found)
             number[s] = np.where(found, inside + self.base[k], UNKNOWN)
-            count[s] = np.where(found, own["count"][inside], 0)
+            count[s] = np.where(found, _get(own, "count", inside), 0)
         return number, count
 
 
@@ -239,14 +276,19 @@ def _count_grams(words: Words, order: int, buckets: int):
                 two = before(one, n, len(h))
                 for at in range(0, len(token), RUN):
                     u, v, w = two[at : at + RUN], one[at : at + RUN], token[at : at + RUN]
-                    # the run's own numbers, in the words' order
-                    own, local = np.unique(np.concatenate([u, v, w]), return_inverse=True)
-                    local = local.reshape(3, -1).astype(U)
-                    key = local[1] << U(21) | local[2]
+                    own = None
+                    if len(number) > 1 << 21:  # the run's own numbers, in the words' order
+                        own, local = np.unique(np.concatenate([u, v, w]), return_inverse=True)
+                        u, v, w = local.reshape(3, -1)
+                    key = v.astype(U) << U(21) | w.astype(U)
                     if order == 3:
-                        key |= local[0] << U(42)
-                    key, count = np.unique(key, return_counts=True)
-                    u, v, w = (own[(key >> U(i) & U((1 << 21) - 1)).astype(np.int64)] for i in (42, 21, 0))
+                        key |= u.astype(U) << U(42)
+                    key.sort()
+                    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                    key, count = key[cut], np.diff(np.concatenate([cut, [len(key)]]))
+                    u, v, w = ((key >> U(i) & U((1 << 21) - 1)).astype(np.int64) for i in (42, 21, 0))
+                    if own is not None:
+                        u, v, w = own[u], own[v], own[w]
                     if order == 3:
                         spread = frequent[u] & frequent[v]
                         code = 2 * gram_bucket(pair_hash(number[u], number[v]), number[w], spread, buckets) + spread
@@ -283,10 +325,16 @@ def _trigrams(folder: str, buckets: int):
         cut, *sums = _sums(context, count)
         total, n1, n2, n3 = sums
         h = mix(context[cut])
-        own = {} if spread else {"total": total, "n1": n1, "n2": n2, "n3": n3}
-        _save(folder, f"{'spread' if spread else 'trigram'}-{bucket}", context=h, start=np.append(cut, len(w)), word=w, count=count, **own)
         out = [(-5 - s, int((count == k).sum())) for s, k in enumerate([1, 2, 3, 4])]
-        if spread:
+        if not spread:
+            run = np.diff(np.append(cut, len(w)))
+            lone = total == 1
+            many, kept = ~lone, np.repeat(~lone, run)
+            more = {"total": total[many], "n1": n1[many], "n2": n2[many]}
+            _save(folder, f"trigram-{bucket}", lone=h[lone], lone_word=w[cut[lone]], context=h[many], start=np.append(0, np.cumsum(run[many])), word=w[kept], count=count[kept], **more)
+            out.append((2 * bucket + 1, -1))  # its contexts are there
+        else:
+            _save(folder, f"spread-{bucket}", context=h, start=np.append(cut, len(w)), word=w, count=count)
             out += [(2 * k, s.stop - s.start, _zip(h[s]), *(_zip(x[s]) for x in sums)) for k, s in parts(bucket_of(h, buckets))]
         # bigrams count the words before them; nothing stands before START, so its bigrams keep their counts
         v = (context & U(0xFFFFFFFF)).astype(np.int64)
@@ -312,12 +360,24 @@ def _bigrams(folder: str, base: np.ndarray):
             h, *sums = (np.concatenate(_unzip(group, c, t)) for c, t in zip("abcde", ("<u8", *["<i8"] * 4)))
             order = np.argsort(h)
             cut = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-            _save(folder, f"sums-{bucket}", context=h[order][cut], **{k: np.add.reduceat(x[order], cut) for k, x in zip(("total", "n1", "n2", "n3"), sums)})
+            _save(folder, f"sums-{bucket}", context=h[order][cut], **{k: np.add.reduceat(x[order], cut) for k, x in zip(SUMS, sums)})
+            return pa.Table.from_batches([_rows([])], ARROW_ROW)
+        sizes = group.column("n").to_numpy()
+        group = group.filter(pa.array(sizes >= 0))
+        if not group.num_rows:
             return pa.Table.from_batches([_rows([])], ARROW_ROW)
         v, w, count = _decoded(group, False)
         h = pair_hash(v, w)
         order = np.argsort(h)
-        _save(folder, f"bigram-{bucket}", gram=h[order], count=count[order])
+        grams, counts, beside, rest = h[order], count[order], {}, np.ones(len(h), bool)
+        if (sizes < 0).any():
+            contexts = _mapped(folder, f"trigram-{bucket}")
+            for kind in ("lone", "context"):
+                at, found = _places(contexts[kind], grams)
+                beside[f"{kind}_count"] = np.zeros(len(contexts[kind]), np.int64)
+                beside[f"{kind}_count"][at[found]] = counts[found]
+                rest &= ~found
+        _save(folder, f"bigram-{bucket}", gram=grams[rest], count=counts[rest], **beside)
         out = [(-1 - s, int((count == k).sum())) for s, k in enumerate([1, 2, 3, 4])]
         cut, *sums = _sums(v, count)
         v = v[cut].astype(np.int64)
@@ -348,7 +408,7 @@ def _by_word(folder: str, base: np.ndarray):
             dense = [np.zeros(size, np.int64) for _ in sums]
             for x, y in zip(dense, sums):
                 np.add.at(x, v - first, y)
-            _save(folder, f"{'follows' if follows else 'context'}-{bucket}", **dict(zip(("total", "n1", "n2", "n3"), dense)))
+            _save(folder, f"{'follows' if follows else 'context'}-{bucket}", **dict(zip(SUMS, dense)))
             if follows:
                 stats |= {"bigrams": int(dense[0].sum()), "k3plus": int((dense[0] >= 3).sum())}
                 stats |= {f"k{k}": int((dense[0] == k).sum()) for k in (1, 2, 3, 4)}
@@ -380,6 +440,8 @@ def _within(sorted_words: np.ndarray, lo: np.ndarray, hi: np.ndarray, w: np.ndar
 
 def _places(keys: np.ndarray, needles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, found) of needles in sorted keys."""
+    if not len(keys):
+        return np.zeros(len(needles), np.int64), np.zeros(len(needles), bool)
     at = np.minimum(np.searchsorted(keys, needles), len(keys) - 1)
     return at, keys[at] == needles
 
@@ -406,48 +468,67 @@ class Model:
         for k, s in parts(np.searchsorted(base, number[known], "right") - 1):
             if (own := self.arrays(f"{kind}-{k}")) is not None:
                 at = number[known[s]] - (base[k] if k < len(base) - 1 else START)
-                for x, y in zip(out, own.values()):
-                    x[known[s]] = y[at]
-        return out
-
-    def bigrams(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """The count of each bigram of numbers."""
-        h = pair_hash(v, w)
-        order = np.argsort(h)
-        out = np.zeros(len(h), np.int64)
-        for k, s in parts(bucket_of(h[order], self.buckets)):
-            if (own := self.arrays(f"bigram-{k}")) is not None:
-                at, found = _places(own["gram"], h[order[s]])
-                out[order[s]] = np.where(found, own["count"][at], 0)
+                for x, name in zip(out, SUMS):
+                    x[known[s]] = _get(own, name, at)
         return out
 
-    def trigrams(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(count of each trigram, sums of its context: tokens, and words seen once, twice, three times or more)."""
-        context = pair_hash(u, v)
-        code = 2 * gram_bucket(context, w, spread, self.buckets) + spread
-        order = np.lexsort((context, code))
-        count, sums = np.zeros(len(u), np.int64), [np.zeros(len(u), np.int64) for _ in range(4)]
-        names = "total", "n1", "n2", "n3"
-        for code_, s in parts(code[order]):
-            k, far = divmod(code_, 2)
-            if (own := self.arrays(f"{'spread' if far else 'trigram'}-{k}")) is None:
+    def pairs(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """(count as a bigram; what it is as a context: 0 none, 1 of one word seen once, 2 another; that word, or its stretch of words and sums) of each sorted pair hash."""
+        count, kind = np.zeros(len(q), np.int64), np.zeros(len(q), np.int8)
+        own = {k: np.zeros(len(q), np.int64) for k in ("word", "start", "stop", *SUMS)}
+        for k, s in parts(bucket_of(q, self.buckets)):
+            grams, contexts = self.arrays(f"bigram-{k}"), self.arrays(f"trigram-{k}")
+            mine = np.arange(s.start, s.stop)
+            if grams is not None:
+                at, found = _places(grams["gram"], q[s])
+                count[mine[found]] = _get(grams, "count", at[found])
+            if contexts is None:
                 continue
-            mine = order[s]
-            at, found = _places(own["context"], context[mine])
-            mine, at = mine[found], at[found]
-            start = own["start"].astype(np.int64)
-            place = _within(own["word"], start[at], start[at + 1], w[mine])
-            count[mine] = np.where(place >= 0, own["count"][place], 0)
-            if not far:
-                for x, name in zip(sums, names):
-                    x[mine] = own[name][at]
-        far = np.flatnonzero(spread)
-        far = far[np.argsort(context[far])]
-        for k, s in parts(bucket_of(context[far], self.buckets)):
+            for what, name in ((1, "lone"), (2, "context")):
+                at, found = _places(contexts[name], q[s])
+                at, some = at[found], mine[found]
+                kind[some] = what
+                if grams is not None:
+                    count[some] = _get(grams, f"{name}_count", at)
+                if what == 1:
+                    own["word"][some] = contexts["lone_word"][at]
+                    own["total"][some] = own["n1"][some] = 1
+                else:
+                    own["start"][some], own["stop"][some] = contexts["start"][at], contexts["start"][at + 1]
+                    for x in ("total", "n1", "n2"):
+                        own[x][some] = _get(contexts, x, at)
+                    own["n3"][some] = own["stop"][some] - own["start"][some] - own["n1"][some] - own["n2"][some]
+        return count, kind, own
+
+    def counts_in(self, bucket: np.ndarray, start: np.ndarray, stop: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The count of each word in its context's stretch of a bucket."""
+        count = np.zeros(len(w), np.int64)
+        order = np.argsort(bucket.astype(np.uint16) if self.buckets < 1 << 16 else bucket, kind="stable")
+        for k, s in parts(bucket[order]):
+            own, mine = self.arrays(f"trigram-{k}"), order[s]
+            place = _within(own["word"], start[mine], stop[mine], w[mine])
+            there = place >= 0
+            count[mine[there]] = _get(own, "count", place[there])
+        return count
+
+    def spread(self, context: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(count, sums of the context) of trigrams whose contexts are spread."""
+        count, sums = np.zeros(len(w), np.int64), [np.zeros(len(w), np.int64) for _ in SUMS]
+        bucket = gram_bucket(context, w, np.ones(len(w), bool), self.buckets)
+        order = np.lexsort((context, bucket))
+        for k, s in parts(bucket[order]):
+            if (own := self.arrays(f"spread-{k}")) is not None:
+                at, found = _places(own["context"], context[order[s]])
+                at, mine = at[found], order[s][found]
+                place = _within(own["word"], own["start"][at].astype(np.int64), own["start"][at + 1].astype(np.int64), w[mine])
+                there = place >= 0
+                count[mine[there]] = _get(own, "count", place[there])
+        order = np.argsort(context)
+        for k, s in parts(bucket_of(context[order], self.buckets)):
             if (own := self.arrays(f"sums-{k}")) is not None:
-                at, found = _places(own["context"], context[far[s]])
-                for x, name in zip(sums, names):
-                    x[far[s]] = np.where(found, own[name][at], 0)
+                at, found = _places(own["context"], context[order[s]])
+                for x, name in zip(sums, SUMS):
+                    x[order[s][found]] = _get(own, name, at[found])
         return count, sums
 
     def mixed(self, counts: str, count: np.ndarray, sums: list[np.ndarray], p: np.ndarray) -> np.ndarray:
@@ -473,19 +554,27 @@ class Model:
             p = np.full(len(h), 1 / (size + 1))
         one = before(token, n, len(h))
         number, frequent = np.append(number, START), np.append(times >= frequent_from(self.words, self.buckets), True)
-        gram, at = np.unique(one.astype(U) << U(32) | token.astype(U), return_inverse=True)
-        v, w = (gram >> U(32)).astype(np.int64), (gram & U(0xFFFFFFFF)).astype(np.int64)
-        sums = [x[v] for x in self.by_number("context", number)]
-        p = self.mixed("n", self.bigrams(number[v], number[w]), sums, p[w])
+        # pairs of neighbours: each is a token's bigram and the next one's context; START twice is the first one's
+        pair, at = numbered(pair_hash(np.append(number[one], START), np.append(number[token], START)))
+        where = np.zeros(len(pair), np.int64)
+        where[at[:-1]] = np.arange(len(token))
+        v, w = one[where], token[where]
+        count, kind, own = self.pairs(pair)
+        p = self.mixed("n", count, [x[v] for x in self.by_number("context", number)], p[w])
+        p = p[at[:-1]]
         if self.order == 3:
-            two = before(one, n, len(h))
-            # a trigram is its first word and its bigram's place
-            gram, at = np.unique(two.astype(U) << U(32) | at.astype(U), return_inverse=True)
-            u, low = (gram >> U(32)).astype(np.int64), (gram & U(0xFFFFFFFF)).astype(np.int64)
-            v, w = v[low], w[low]
-            count, sums = self.trigrams(number[u], number[v], number[w], frequent[u] & frequent[v])
-            p = self.mixed("t", count, sums, p[low])
-        return (times > 0)[token], base[token], np.log10(p)[at]
+            context = before(at[:-1], n, at[-1])
+            count = ((kind == 1)[context] & (own["word"][context] == number[token])).astype(np.int64)
+            sums = [own[x][context] for x in SUMS]
+            some = np.flatnonzero((kind == 2)[context])
+            c = context[some]
+            count[some] = self.counts_in(bucket_of(pair, self.buckets)[c], own["start"][c], own["stop"][c], number[token[some]])
+            far = np.flatnonzero(frequent[before(one, n, len(h))] & frequent[one])
+            count[far], more = self.spread(pair[context[far]], number[token[far]])
+            for x, y in zip(sums, more):
+                x[far] = y
+            p = self.mixed("t", count, sums, p)
+        return (times > 0)[token], base[token], np.log10(p)
 
 
 def fit(texts: DataFrame, text: str = "text", order: int = 2) -> Model:
