@@ -170,8 +170,9 @@ def birdcage(spark: SparkSession, m: int, voxel: float, channels: int, rings: in
 
 def noisify(t: Tensor, sigma: float, seed: int = 0) -> Tensor:
     """Adds complex normal noise, the same for the same seed and rows: drawn from a hash of the cell, not of the partition."""
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *t.dims), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    r, a = sigma * F.sqrt(-2 * F.log(u(1))), 2 * math.pi * u(2)
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *t.dims))
+    u = lambda at: (F.conv(F.substring(h, at, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    r, a = sigma * F.sqrt(-2 * F.log(u(1))), 2 * math.pi * u(13)
     return t.with_values(F.col("re") + r * F.cos(a), F.col("im") + r * F.sin(a))
 
 

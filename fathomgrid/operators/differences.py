@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,19 +134,47 @@ def wavelet_level(spark: SparkSession, shape: Shape, dim: str, size: int, width:
     return matmul(w, n, n, dim, {d: x for d, x in shape.items() if d != dim})
 
 
+def wavelet_matrix(n: int, width: int = 4) -> np.ndarray:
+    """All levels over n cells as one orthogonal matrix: each row is a wavelet, so about n * width * levels entries are not 0."""
+    c = np.array(DAUBECHIES[width]) / math.sqrt(2)
+    high = (-1.0) ** np.arange(width) * c[::-1]
+    out = np.eye(n)
+    for size in wavelet_levels(n):
+        if size >= 4 and size % 2 == 0:
+            h = np.arange(size // 2)
+            step = np.zeros((size, size))
+            for k in range(width):
+                near = (2 * h - width // 2 + k) % size
+                np.add.at(step, (h, near), c[k])
+                np.add.at(step, (h + size // 2, near), high[k])
+            out[:size] = step @ out[:size]
+    return out
+
+
 def wavelets(spark: SparkSession, shape: Shape, dims: list[str], width: int = 4) -> LinOp:
-    """All levels of all dims; the adjoint is the inverse."""
+    """All levels of all dims, one join and one sum for each dimension; the adjoint is the inverse."""
     op: LinOp | None = None
     for d in dims:
-        for size in wavelet_levels(shape[d]):
-            if size >= 4 and size % 2 == 0:
-                level = wavelet_level(spark, shape, d, size, width)
-                op = level if op is None else compose(level, op)
+        m = wavelet_matrix(shape[d], width)
+        if np.array_equal(m, np.eye(shape[d])):
+            continue
+        rows = [(int(o), int(i), float(m[o, i]), 0.0) for o, i in zip(*np.nonzero(m))]
+        level = matmul(spark.createDataFrame(rows, "o int, i int, wr double, wi double"), shape[d], shape[d], d, {e: x for e, x in shape.items() if e != d})
+        op = level if op is None else compose(level, op)
     if op is None:
         raise ValueError("nothing to split")
     return op
 
 
+def interior_difference(t: Tensor, dim: str, kind: str = "forward") -> Tensor:
+    """Differences along one dimension where both neighbours are: forward x[n+1] - x[n], backward x[n] - x[n-1], central half of x[n+1] - x[n-1]; others are absent."""
+    ahead, behind, factor = {"forward": (1, 0, 1.0), "backward": (0, 1, 1.0), "central": (1, 1, 0.5)}[kind]
+    n = t.shape[dim]
+    moved = lambda by, sign: t.df.withColumn(dim, F.col(dim) - by).withColumns({"re": F.col("re") * sign, "im": F.col("im") * sign})
+    both = moved(ahead, factor).unionByName(moved(-behind, -factor)).filter((F.col(dim) >= behind) & (F.col(dim) < n - ahead))
+    return Tensor(both.groupBy(*t.dims).agg(F.sum("re").alias("re"), F.sum("im").alias("im")), t.shape)
+
+
 def circular_difference_by_window(t: Tensor, dim: str, scale: float) -> Tensor:
     """The gradient along one dense dimension by lead over each line: no weight table, one shuffle by line."""
     from pyspark.sql import Window

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import exp_semi, full_width, kernel_norm, mul_to_even
-from ..tensor import Tensor
+from ..functions.columns import full_width, kernel, kernel_norm, mul_to_even
+from ..tensor import Tensor, grid
 from .linop import Diagonal, LinOp, Shape, Sparse, compose, matmul
 from .shape import Pad
 
@@ -99,10 +99,10 @@ def coordinates(points: DataFrame, axes: dict[str, str], matrix: int, osamp: flo
     return df, n
 
 
-def grid_weights(points: DataFrame, axes: dict[str, str], matrix: int, osamp: float = 2.0, width: int = 4, keys: tuple[str, ...] = ("sample", "trace"), normalised: bool = True) -> tuple[DataFrame, int]:
+def grid_weights(points: DataFrame, axes: dict[str, str], matrix: int, osamp: float = 2.0, width: int = 4, keys: tuple[str, ...] = ("sample", "trace"), normalised: bool = True, shape: str = "expsemi") -> tuple[DataFrame, int]:
     """(cell columns, in_<key> columns, wr, wi): the separable kernel's weights of each sample's cells, wrapped around; zeros are not kept.
 
-    width 1 is the top-hat. normalised: the kernel at offset 0 has norm 1.
+    width 1 is the top-hat. shape: the kernel (expsemi, kaiser, triangle). normalised: expsemi at offset 0 has norm 1; the others are as they are.
     """
     df, n = coordinates(points, axes, matrix, osamp)
     w = F.lit(1.0)
@@ -110,9 +110,9 @@ def grid_weights(points: DataFrame, axes: dict[str, str], matrix: int, osamp: fl
         h = full_width(width) // 2
         for c in axes.values():
             df = df.withColumn(f"{c}_o", F.explode(F.array(*(F.lit(o) for o in range(-h, h + 1)))))
-            w = w * exp_semi((F.col(f"{c}_o") - F.col(f"{c}_off")) / (width / 2), width, osamp)
+            w = w * kernel(shape, (F.col(f"{c}_o") - F.col(f"{c}_off")) / (width / 2), width, osamp)
             df = df.withColumn(c, F.pmod(F.col(c) + F.col(f"{c}_o"), F.lit(n)))
-        if normalised:
+        if normalised and shape == "expsemi":
             w = w * kernel_norm(width, osamp) ** len(axes)
     out = df.select(*axes.values(), *(F.col(k).alias(f"in_{k}") for k in keys), w.alias("wr"), F.lit(0.0).alias("wi"))
     return out.filter("wr <> 0"), n
@@ -126,6 +126,37 @@ def gridding(points: DataFrame, axes: dict[str, str], matrix: int, samples: Shap
     return Sparse(swapped, cells, dict(samples), dict(along or {}))
 
 
+def convolution(kernels: Tensor, cells: Shape, channel: str = "channel") -> Sparse:
+    """k-space kernels (offsets from their centre, channel) as an operator: grid to grid by channel, out[c, n] = sum over o of kernel[c, o] in[n - o], wrapped.
+
+    An explode over the kernel's offsets, so its weights number cells times kernel.
+    """
+    spark = kernels.spark
+    dims = [d for d in kernels.dims if d != channel]
+    offsets = kernels.df.select(channel, *((F.col(d) - kernels.shape[d] // 2).alias(f"_{d}") for d in dims), F.col("re").alias("wr"), F.col("im").alias("wi"))
+    w = grid(spark, cells).crossJoin(offsets)
+    near = [F.pmod(F.col(d) - F.col(f"_{d}"), F.lit(cells[d])).cast("int").alias(f"in_{d}") for d in dims]
+    return Sparse(w.select(*cells, channel, *near, "wr", "wi"), dict(cells), {**cells, channel: kernels.shape[channel]}, {})
+
+
+def grid_decant(points: DataFrame, axes: dict[str, str], matrix: int, samples: Shape, kernels: Tensor, osamp: float = 2.0, width: int = 4) -> LinOp:
+    """Cartesian grid to samples of every channel, the sensitivities convolved in k-space: a second explode, then the gather of gridding."""
+    n = mul_to_even(matrix, osamp)
+    c = convolution(kernels, {d: n for d in axes.values()})
+    return compose(gridding(points, axes, matrix, samples, osamp, width, {"channel": kernels.shape["channel"]}), c)
+
+
+def nufft_decant(points: DataFrame, axes: dict[str, str], matrix: int, samples: Shape, kernels: Tensor, osamp: float = 2.0, width: int = 4) -> LinOp:
+    """Image to samples of every channel without maps in image space: apodise, pad, transform, then grid_decant."""
+    spark, dims = points.sparkSession, list(axes.values())
+    n = mul_to_even(matrix, osamp)
+    image, big = {d: matrix for d in dims}, {d: n for d in dims}
+    op: LinOp = Pad(image, big)
+    for d in dims:
+        op = compose(op, Diagonal(image, apodization(spark, matrix, osamp, width, d)))
+    return compose(grid_decant(points, axes, matrix, samples, kernels, osamp, width), compose(FFT(big, dims), op))
+
+
 def apodization(spark: SparkSession, matrix: int, osamp: float, width: int, dim: str) -> Tensor:
     """1 / max(|centred transform of the kernel|, 1e-3) over the image's cells along one axis."""
     n = mul_to_even(matrix, osamp)

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -143,16 +144,95 @@ class Stack(Prox):
         return _tagged([p.conj(alpha, _block(x, k, s)) for k, (p, s) in enumerate(zip(self.parts, self.shapes))])
 
 
+def patches(x: Tensor, dims: list[str], patch: int, window: int, f, shift: dict[str, int] | None = None) -> Tensor:
+    """Each window of cells taken from f of the patch around it.
+
+    Windows of `window` cells, the first one at the shift less a window, cut at the edges; a window's patch of `patch` cells lies about it and is
+    moved inside the tensor. f maps an array of shape (patch, ..., the other dimensions' cells) to one of that shape; it runs over dense patches of
+    all cells of the dimensions not in dims (absent cells are 0). A cell goes to every patch that holds it by key arithmetic: one explode, one shuffle.
+    """
+    if any(patch > x.shape[d] or window > patch for d in dims):
+        raise ValueError("a window fits its patch, a patch the tensor")
+    df, inset = x.df, (patch - window) // 2
+    for d in dims:
+        n, s = x.shape[d], (shift or {}).get(d, 0) % window
+        start = lambda w, s=s: w * window + s
+        low = lambda w, n=n, start=start: F.least(F.greatest(start(w) - inset, F.lit(0)), F.lit(n - patch))
+        near = F.floor((F.col(d) - s) / window).cast("int")
+        reach = -(-patch // window) + 1
+        df = df.withColumn(f"_w{d}", F.explode(F.array(*(near + o for o in range(-reach, reach + 1)))))
+        w = F.col(f"_w{d}")
+        inside = (start(w) < n) & (start(w) + window > 0) & (F.col(d) >= low(w)) & (F.col(d) < low(w) + patch)
+        df = df.filter(inside).withColumn(f"_l{d}", low(w).cast("int"))
+    size, every, shift = x.shape, x.dims, {d: (shift or {}).get(d, 0) % window for d in dims}
+    free = [d for d in every if d not in dims and size[d]]
+    keys = [d for d in every if d not in dims and not size[d]]
+    sizes = [patch] * len(dims) + [size[d] for d in free]
+    flat = F.lit(0)
+    for c, n in zip([*(F.col(d) - F.col(f"_l{d}") for d in dims), *map(F.col, free)], sizes):
+        flat = flat * n + c
+    packed = df.groupBy(*keys, *(f"_w{d}" for d in dims)).agg(F.collect_list(F.struct(flat.cast("int").alias("k"), "re", "im")).alias("_z"))
+    kinds = {d: x.df.schema[d].dataType.simpleString() for d in every}
+    types = [{"int": pa.int32(), "bigint": pa.int64()}[kinds[d]] if d not in keys else None for d in every]
+
+    def window_of(start: list[int]) -> tuple[list[np.ndarray], tuple]:
+        """The window's cells, and where they are in its patch."""
+        spans = [np.arange(max(s, 0), min(s + window, size[d])) for s, d in zip(start, dims)]
+        lows = [min(max(s - inset, 0), size[d] - patch) for s, d in zip(start, dims)]
+        cells = [c.ravel() for c in np.meshgrid(*spans, *(np.arange(size[d]) for d in free), indexing="ij")]
+        return cells, tuple(c - lo for c, lo in zip(cells, lows)) + tuple(cells[len(dims) :])
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, step := max(1, (1 << 18) // math.prod(sizes))):
+                part = b.slice(at, step)
+                n, lists = part.num_rows, part.column("_z")
+                row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+                k, re, im = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                a = np.zeros((n, math.prod(sizes)), complex)
+                a[row, k] = re + 1j * im
+                starts = np.stack([part.column(f"_w{d}").to_numpy() * window + shift[d] for d in dims], 1).tolist()
+                cells, values = [], []
+                for start, one in zip(starts, a.reshape(n, *sizes)):
+                    found, place = window_of(start)
+                    cells.append(found)
+                    values.append(f(one)[place])
+                rows = pa.array(np.repeat(np.arange(n), [len(v) for v in values]))
+                made = dict(zip([*dims, *free], (np.concatenate(c) for c in zip(*cells))))
+                y = np.concatenate(values)
+                columns = [part.column(d).take(rows) if d in keys else pa.array(made[d], t) for d, t in zip(every, types)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(y.real), pa.array(y.imag)], [*every, "re", "im"])
+
+    return Tensor(packed.mapInArrow(run, ", ".join([*(f"{d} {kinds[d]}" for d in every), "re double", "im double"])), x.shape)
+
+
 class LocallyLowRank(Prox):
-    """Singular values of patches (cells of the patch by the dimension `across`), soft thresholded; patches tile the image.
+    """Singular values of patches (cells of the patch by the dimension `across`), soft thresholded.
 
+    Patches tile the tensor, or with a window lie about windows of that size (see patches), shifted by shift.
     The threshold grows with the patch: lam * (sqrt M + sqrt N + sqrt log(patches * min(M, N))).
     """
 
-    def __init__(self, lam: float, dims: list[str], across: str, patch: int):
-        self.lam, self.dims, self.across, self.patch = lam, dims, across, patch
+    def __init__(self, lam: float, dims: list[str], across: str, patch: int, window: int | None = None, shift: dict[str, int] | None = None):
+        self.lam, self.dims, self.across, self.patch, self.window, self.shift = lam, dims, across, patch, window, shift
+
+    def _windowed(self, alpha, x):
+        others = [d for d in x.dims if d not in self.dims and d != self.across and x.shape[d]]
+        if others:
+            raise ValueError(f"{others} are neither in the patch nor across it")
+        m, n = self.patch ** len(self.dims), x.shape[self.across]
+        count = math.prod(x.shape[d] // self.window + 2 for d in self.dims)
+        cut = alpha * self.lam * (math.sqrt(m) + math.sqrt(n) + math.sqrt(math.log(max(count * min(m, n), 1))))
+
+        def f(a):
+            u, s, v = np.linalg.svd(a.reshape(m, n), full_matrices=False)
+            return ((u * np.maximum(s - cut, 0)) @ v).reshape(a.shape)
+
+        return patches(x, self.dims, self.patch, self.window, f, self.shift)
 
     def apply(self, alpha, x):
+        if self.window is not None:
+            return self._windowed(alpha, x)
         p, dims, across = self.patch, self.dims, self.across
         m, n = p ** len(dims), x.shape[across]
         count = math.prod(-(-x.shape[d] // p) for d in dims)

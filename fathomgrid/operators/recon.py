@@ -9,10 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import mul_to_even
+from ..functions.columns import mul_to_even, tukey
 from ..tensor import Tensor, grid
 from . import differences, fourier, prox, sense, shape, stats
-from .linop import Diagonal, Identity, LinOp, Shape, compose
+from .linop import Diagonal, Extract, Identity, LinOp, Shape, Subtract, VStack, _stack_shape, compose
 from .solvers import ADMM, LSMR, PDHG, Regulariser
 
 
@@ -39,6 +39,89 @@ def preconditioner(points: DataFrame, axes: dict[str, str], matrix: int, samples
     return w.with_values(F.when(v == 0, 1.0).otherwise(1 / v), F.lit(0.0))
 
 
+def preconditioner_multi(points: DataFrame, axes: dict[str, str], matrix: int, samples: Shape, maps: Tensor, osamp: float = 2.0, width: int = 4, lam: float = 0.0) -> Tensor:
+    """Weights of the samples of every channel: as preconditioner(), with the channels' maps in place of the field of view.
+
+    A channel's autocorrelation is the sum over all channels of the squared spectrum of the product of their maps: a self-join
+    over channels, one transform for all pairs.
+    """
+    dims, n = list(axes.values()), len(axes)
+    channels = maps.shape["channel"]
+    twice = points.select(*samples, *((F.col(p) * 2).alias(p) for p in axes))
+    big = mul_to_even(matrix, 2)
+    a = fourier.nufft(twice, axes, big, samples, osamp, width)
+    psf = a.adjoint(_ones(points.sparkSession, samples))
+    other = maps.df.select(*dims, F.col("channel").alias("other"), F.col("re").alias("r2"), F.col("im").alias("i2"))
+    re, im = F.col("re") * F.col("r2") + F.col("im") * F.col("i2"), F.col("im") * F.col("r2") - F.col("re") * F.col("i2")
+    small = {**{d: matrix for d in dims}, "channel": channels, "other": channels}
+    pair = Tensor(maps.df.join(other, dims).select(*small, re.alias("re"), im.alias("im")), small)
+    large = {**small, **{d: big for d in dims}}
+    k = fourier.FFT(large, dims).forward(shape.Pad(small, large).forward(pair))
+    power = k.df.groupBy(*dims, "channel").agg(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("re")).withColumn("im", F.lit(0.0))
+    each = {**{d: big for d in dims}, "channel": channels}
+    auto = fourier.FFT(each, dims).adjoint(Tensor(power.select(*each, "re", "im"), each))
+    both = Diagonal(each, psf).forward(auto)
+    w = fourier.nufft(twice, axes, big, samples, osamp, width, {"channel": channels}).forward(both)
+    scale = big ** (1.5 * n) / matrix**n
+    v = (F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) * scale + lam) / (1 + lam)
+    return w.with_values(F.when(v == 0, 1.0).otherwise(1 / v), F.lit(0.0))
+
+
+def make_preconditioner(kind: str, points: DataFrame, axes: dict[str, str], matrix: int, samples: Shape, maps: Tensor | None = None, lam: float = 0.0, **how) -> Tensor | None:
+    """none, single, multi (needs maps), or the path of stored weights, whose shape must be the samples' (with a channel or without)."""
+    if kind == "none":
+        return None
+    if kind == "single":
+        return preconditioner(points, axes, matrix, samples, lam=lam, **how)
+    if kind == "multi":
+        if maps is None:
+            raise ValueError("the preconditioner for several channels needs their maps")
+        return preconditioner_multi(points, axes, matrix, samples, maps, lam=lam, **how)
+    from ..sources.store import read_weights
+
+    return read_weights(points.sparkSession, kind, samples)
+
+
+def low_resolution_channels(points: DataFrame, axes: dict[str, str], matrix: int, samples: Shape, data: Tensor, limit: float, iterations: int = 4, osamp: float = 1.3, width: int = 4) -> Tensor:
+    """An image of each channel from the samples within `limit` of the centre, faded out towards it, by preconditioned least squares."""
+    near = sense.downsampled(points, list(axes), [limit] * len(axes))
+    r = F.sqrt(sum(F.col(p) * F.col(p) for p in axes))
+    w = near.select(*samples, tukey(r, limit / 2, limit, 0.0).alias("_f"))
+    faded = data.df.join(w, list(samples)).withColumns({"re": F.col("re") * F.col("_f"), "im": F.col("im") * F.col("_f")}).drop("_f")
+    own = near.filter(~F.isnan(next(iter(axes)))).select(*samples, *axes)
+    a = fourier.nufft(own, axes, matrix, samples, osamp, width, {"channel": data.shape["channel"]})
+    m = preconditioner(own, axes, matrix, samples)
+    return recon_lsq(a, Tensor(faded.select(*data.dims, "re", "im"), data.shape), m, iterations)
+
+
+def choose_kernels(how: str, points: DataFrame, axes: dict[str, str], matrix: int, samples: Shape, data: Tensor, limit: float, width: int = 6, **more) -> Tensor:
+    """Sensitivity kernels: auto calibrates from the data, any other value is the path of stored ones, whose channels must be the data's."""
+    if data.shape.get("channel", 1) < 2:
+        raise ValueError("the data have a single channel")
+    if how != "auto":
+        from ..sources.store import read_tensor
+
+        kernels = read_tensor(data.spark, how)
+        if kernels.shape["channel"] != data.shape["channel"]:
+            raise ValueError(f"kernels have {kernels.shape['channel']} channels, data {data.shape['channel']}")
+        return kernels
+    channels = low_resolution_channels(points, axes, matrix, samples, data, limit).cut()
+    s = stats.rss(channels, "channel").select(*axes.values(), F.col("v").alias("re"), F.lit(0.0).alias("im"))
+    return estimate_kernels(channels, Tensor(s, {d: matrix for d in axes.values()}), list(axes.values()), width, **more)
+
+
+def nufft_lowmem(points: DataFrame, axes: dict[str, str], matrix: int, samples: Shape, kernels: Tensor, osamp: float = 2.0, width: int = 4) -> LinOp:
+    """Image to samples of every channel, the maps inflated from small kernels when they are used: only the kernels are kept."""
+    dims = list(axes.values())
+    maps = kernels_to_maps(kernels, dims, matrix)
+    return compose(fourier.nufft(points, axes, matrix, samples, osamp, width, {"channel": kernels.shape["channel"]}), sense.Sense(maps))
+
+
+def oversampled(x: Tensor, dims: list[str]) -> Tensor:
+    """The image at twice the size in each of dims, by its spectrum, with values as they were."""
+    return resample(x, {d: 2 * x.shape[d] for d in dims})
+
+
 def encoding(points: DataFrame, axes: dict[str, str], matrix: int, samples: Shape, maps: Tensor | None = None, osamp: float = 1.3, width: int = 4, along: Shape | None = None) -> LinOp:
     """Image to samples: NUFFT, after the coils' sensitivities if there are any. Slabs and times run along."""
     along = dict(along or {})
@@ -65,19 +148,44 @@ def recon_rss(a: LinOp, data: Tensor, m: Tensor | None = None, iterations: int =
     return stats.rss(recon_lsq(a, data, m, iterations), "channel")
 
 
-def regularisers(spark: SparkSession, image: Shape, dims: list[str], **flags: float) -> list[Regulariser]:
-    """By flag: tv, tv2 (second differences), tvt (along t), wavelets (width 6), l1, l1i, llr (along b); iso=1 groups the components of tv."""
+#: The share of the gradient in tv2; the Laplacian has the rest.
+TV2_SHARE = 0.77
+
+
+def _grouped(lam: float, iso: str) -> prox.Prox:
+    """L1, or L2 over the dimensions that iso names (of b, t, g)."""
+    if set(iso) - set("btg"):
+        raise ValueError(f"isotropic dimensions {iso} are not of b, t, g")
+    return prox.L2(lam, list(iso)) if iso else prox.L1(lam)
+
+
+def tgv(spark: SparkSession, image: Shape, dims: list[str], lam: float, iso: str = "") -> tuple[list[Regulariser], LinOp]:
+    """Total generalised variation: regularisers over the stacked unknowns (image, vector field v), and the operator that extracts the image.
+
+    The first penalises the gradient of the image less v, the second the symmetrised gradient of v.
+    """
+    first = differences.gradient(spark, image, dims)
+    second = differences.gradient_of_vector(spark, first.oshape, dims)
+    stacked = _stack_shape([image, first.oshape])
+    x, v = Extract(stacked, 0, dict(image)), Extract(stacked, 1, first.oshape)
+    return [Regulariser(_grouped(lam, iso), Subtract(compose(first, x), v)), Regulariser(_grouped(lam, iso), compose(second, v))], x
+
+
+def regularisers(spark: SparkSession, image: Shape, dims: list[str], iso: str | int = "", **flags: float) -> list[Regulariser]:
+    """By flag: tv, tv2 (gradient and isotropic Laplacian, by shares), tvt (along t), wavelets (width 6), l1, l1i, llr (along b).
+
+    iso: the dimensions (of b, t and, for the gradient, g) whose components tv, tv2 and l1 shrink together; 1 means g. For TGV see tgv.
+    """
+    iso = "g" if iso == 1 else iso or ""
     out = []
     for name, lam in flags.items():
-        if name == "iso":
-            continue
         if name == "tv":
-            p = prox.L2(lam, ["g"]) if flags.get("iso") else prox.L1(lam)
-            out.append(Regulariser(p, differences.gradient(spark, image, dims)))
+            out.append(Regulariser(_grouped(lam, iso), differences.gradient(spark, image, dims)))
         elif name == "tv2":
-            first = differences.gradient(spark, image, dims)
-            second = differences.gradient_of_vector(spark, image, dims)
-            out.append(Regulariser(prox.L1(lam), compose(second, first)))
+            both = [differences.gradient(spark, image, dims), differences.isotropic_laplacian(spark, image, dims)]
+            joint = iso.replace("g", "")  # the Laplacian has no components
+            parts = [_grouped(lam * TV2_SHARE, joint), _grouped(lam * (1 - TV2_SHARE), joint)]
+            out.append(Regulariser(prox.Stack(parts, [op.oshape for op in both]), VStack(both)))
         elif name == "tvt":
             out.append(Regulariser(prox.L1(lam), differences.gradient(spark, image, ["t"])))
         elif name == "wavelets":
@@ -85,7 +193,7 @@ def regularisers(spark: SparkSession, image: Shape, dims: list[str], **flags: fl
         elif name == "llr":
             out.append(Regulariser(prox.LocallyLowRank(lam, dims, "b", 5)))
         elif name in ("l1", "l1i"):
-            out.append(Regulariser(prox.L1(lam) if name == "l1" else prox.L1I(lam)))
+            out.append(Regulariser(_grouped(lam, iso.replace("g", "")) if name == "l1" else prox.L1I(lam)))
         else:
             raise ValueError(f"no regulariser {name}")
     return out
@@ -115,11 +223,8 @@ def denoise(x: Tensor, regs: list[Regulariser], iterations: int = 32) -> Tensor:
     return PDHG(Identity(x.shape), regs, iterations).run(x)
 
 
-def point_spread(a: LinOp, centre: dict[str, int], m: Tensor | None = None, iterations: int = 4) -> Tensor:
-    """The least-squares response to a unit impulse."""
-    spark = m.spark if m is not None else None
-    if spark is None:
-        raise ValueError("give the preconditioner")
+def point_spread(spark: SparkSession, a: LinOp, centre: dict[str, int], m: Tensor | None = None, iterations: int = 4) -> Tensor:
+    """The least-squares response to a unit impulse, with a preconditioner or without."""
     one = spark.createDataFrame([(*centre.values(), 1.0, 0.0)], ", ".join([*(f"{d} int" for d in centre), "re double", "im double"]))
     return recon_lsq(a, a.forward(Tensor(one, a.ishape)), m, iterations)
 
@@ -158,7 +263,7 @@ def maps_to_kernels(maps: Tensor, dims: list[str], width: int, osamp: float = 1.
 
 def estimate_kernels(channels: Tensor, reference: Tensor, dims: list[str], width: int = 6, osamp: float = 1.3, lam: float = 1e-4, power: int = 4, iterations: int = 16) -> Tensor:
     """Kernels k whose maps times the reference image give the channel images, with Sobolev weights (1 + |k|^2)^(power / 2) against roughness."""
-    from .linop import VStack, _tagged
+    from .linop import _tagged
 
     spark, matrix = channels.spark, channels.shape[dims[0]]
     ks = {**channels.shape, **{d: width for d in dims}}

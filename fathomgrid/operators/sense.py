@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..tensor import Tensor
 from .linop import LinOp, Shape, matmul
+from .shape import component, real_reference, slice_dim, slice_segments
 
 
 class Sense(LinOp):
@@ -90,6 +91,28 @@ def basis_concat(one: DataFrame, two: DataFrame, n: int) -> DataFrame:
     return one.unionByName(two.withColumn("b", F.col("b") + n))
 
 
+def basis_slice(basis: Tensor, per_segment: int = 0, segments: tuple[int, int, int] = (0, 0, 1), **windows: tuple[int, int, int]) -> Tensor:
+    """A basis cut to (start, size, stride) of b, sample and trace; with per_segment the window of trace holds within each of the segments chosen."""
+    for d, w in windows.items():
+        if d != "trace" or not per_segment:
+            basis = slice_dim(basis, d, *w)
+    return slice_segments(basis, "trace", per_segment, segments, windows.get("trace", (0, 0, 1))) if per_segment else basis
+
+
+def time_courses(images: Tensor, time: str = "t", otsu: bool = False) -> DataFrame:
+    """(cells, time, v): each cell's course in phase with its last image; otsu: of the cells at or above the threshold of that image only."""
+    cells = [d for d in images.dims if d != time]
+    last = images.chip(time, images.shape[time] - 1)
+    real = real_reference(images, {time: images.shape[time] - 1}).df.select(*cells, time, F.col("re").alias("v"))
+    if otsu:
+        from .stats import otsu as threshold
+
+        m = component(last, "mag")
+        kept = m.crossJoin(F.broadcast(threshold(m).select("threshold"))).filter(F.col("v") >= F.col("threshold")).select(*cells)
+        real = real.join(kept, cells, "left_semi")
+    return real
+
+
 def basis_contraction(basis: DataFrame, vectors: int, traces: int, along: Shape, dim: str = "b", out: str = "trace"):
     """Coefficients to time courses, as an operator (basis rows b, trace, re, im)."""
     w = basis.select(F.col("trace").alias("o"), F.col(dim).alias("i"), F.col("re").alias("wr"), F.col("im").alias("wi"))

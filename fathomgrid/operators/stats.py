@@ -164,6 +164,18 @@ def gram_schmidt(rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def basis_from_courses(spark: SparkSession, courses: DataFrame, cells: list[str], time: str, n: int, steps: int) -> np.ndarray:
+    """The first n singular vectors of time courses (cells, time, v), from their Gram matrix over time: steps squared sums reach the driver, whatever the cells."""
+    line = courses.groupBy(*cells).agg(F.map_from_entries(F.collect_list(F.struct(time, "v"))).alias("c"))
+    line = line.select(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.coalesce(F.element_at("c", k.cast("int")), F.lit(0.0))).alias("x"))
+    pair = line.select(F.posexplode("x").alias("a", "va"), "x").select("a", "va", F.posexplode("x").alias("b", "vb"))
+    g = np.zeros((steps, steps))
+    for r in pair.groupBy("a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("v")).collect():  # steps squared rows
+        g[r.a, r.b] = r.v
+    _, v = np.linalg.eigh(g)
+    return v[:, ::-1][:, :n].T
+
+
 def svd_basis(spark: SparkSession, dynamics: np.ndarray, n: int) -> np.ndarray:
     """The first n right singular vectors of a small table of time courses, as rows with phases fixed."""
     _, _, v = np.linalg.svd(dynamics, full_matrices=False)

@@ -364,7 +364,7 @@ def wavelet_d4_level1(spark, d):
 
 
 _SIZES = (64, 32, 16, 8, 4)
-_CHAIN = ", ".join(f"w{i} AS ({_level('lines' if i == 0 else f'w{i - 1}', s, 6)})" for i, s in enumerate(_SIZES))
+_CHAIN = ", ".join(f"w{i} AS MATERIALIZED ({_level('lines' if i == 0 else f'w{i - 1}', s, 6)})" for i, s in enumerate(_SIZES))
 
 
 @query(f"WITH {LINES}, {_wave_sql(6)}, {_CHAIN} SELECT trace, x, round(re, 6) + 0.0 AS re FROM w4")
@@ -854,7 +854,7 @@ def rovir_ratio(spark, d):
     return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(w)], "rank int, ratio double")
 
 
-@query()
+@query(f"WITH {LINES}, h AS (SELECT trace, x, re, md5('7:' || trace || ':' || x) AS h FROM lines), u AS (SELECT trace, x, re, (CAST('0x' || substr(h, 1, 12) AS BIGINT) + 0.5e0) / 281474976710656 AS a, (CAST('0x' || substr(h, 13, 12) AS BIGINT) + 0.5e0) / 281474976710656 AS b FROM h) SELECT trace, x, round(re + 0.1e0 * sqrt(-2 * ln(a)) * cos(2 * {PI} * b), 6) + 0.0 AS re, round(0.1e0 * sqrt(-2 * ln(a)) * sin(2 * {PI} * b), 6) + 0.0 AS im FROM u")
 def noisify_lines(spark, d):
     """Seeded complex noise; the same for any partitioning."""
     return cells(G.noisify(lines(spark, d), 0.1, 7), "trace", "x")
@@ -868,13 +868,13 @@ def simulate_ir(spark, d):
     return out(G.simulate(tissues, "ir", seq), "id", "trace", v="v")
 
 
-@query()
+@query(f"WITH e AS (SELECT i, i / 32.0e0 AS z FROM range(1, 32) AS r(i)), p AS (SELECT i, sum(0.5e0 / 32 * sqrt(1 / (1 - z * z) * (256 * {PI} - 1 / (1 - z * z)))) OVER (ORDER BY i) AS phi, asin(z) AS theta FROM e), a AS (SELECT 32 - i AS trace, phi, theta FROM p UNION ALL SELECT 32 + i, -phi, -theta FROM p UNION ALL SELECT 0, 0, {PI} / 2 UNION ALL SELECT 32, 0, 0) SELECT CAST(s AS INT) AS sample, CAST(trace AS INT) AS trace, round(s / 2.0e0 * cos(theta) * cos(phi), 6) + 0.0 AS kx, round(s / 2.0e0 * cos(theta) * sin(phi), 6) + 0.0 AS ky, round(s / 2.0e0 * sin(theta), 6) + 0.0 AS kz FROM a, range(16) AS q(s)")
 def traj_spiral(spark, d):
     """G18."""
     return out(G.archimedean(spark, 16, 2.0, 64), "sample", "trace", kx="kx", ky="ky", kz="kz")
 
 
-@query()
+@query(f"WITH a AS (SELECT t AS trace, {PI} * (3 - sqrt(5e0)) * (2 * (t % 8) + t // 8) AS phi, asin(greatest(least(1 - (16.0e0 * (t % 8) + 2.0e0 * (t // 8)) / 63, 1), -1)) AS theta FROM range(64) AS r(t)) SELECT CAST(s AS INT) AS sample, CAST(trace AS INT) AS trace, round(s / 2.0e0 * cos(theta) * cos(phi), 6) + 0.0 AS kx, round(s / 2.0e0 * cos(theta) * sin(phi), 6) + 0.0 AS ky, round(s / 2.0e0 * sin(theta), 6) + 0.0 AS kz FROM a, range(16) AS q(s)")
 def traj_phyllotaxis(spark, d):
     """G19."""
     return out(G.phyllotaxis(spark, 16, 2.0, 64, 3, 8), "sample", "trace", kx="kx", ky="ky", kz="kz")
@@ -925,7 +925,7 @@ def recon_rss_events(spark, d):
     return out(recon.recon_rss(op, _data(p), iterations=2), "x", rss="v")
 
 
-@query()
+@query(f"WITH {LINES}, k AS (SELECT m, n, sum(cos(a)) / 64 AS wr, sum(sin(a)) / 64 AS wi FROM (SELECT m, n, 2 * {PI} * q * ((m - 48) / 96.0e0 - (n - 32) / 64.0e0) AS a FROM range(96) AS r(m), range(64) AS s(n), range(-32, 32) AS t(q)) GROUP BY m, n) SELECT trace, CAST(m AS INT) AS x, round(sum(re * wr), 6) + 0.0 AS re, round(sum(re * wi), 6) + 0.0 AS im FROM lines JOIN k ON x = n GROUP BY trace, m")
 def resample_lines(spark, d):
     """lines of 64 cells brought to 96 by padding their spectra."""
     from ..operators import recon
@@ -933,7 +933,34 @@ def resample_lines(spark, d):
     return cells(recon.resample(lines(spark, d), {"x": 96}), "trace", "x")
 
 
-@query()
+def _spline_weights(knots: list[float], at: list[float]) -> list[tuple[int, float, float]]:
+    """(knot, place, weight): a natural cubic spline is linear in its values, so its weights are the splines of unit vectors. From the first derivatives."""
+    import numpy as np
+
+    x, n = np.array(knots), len(knots)
+    h = np.diff(x)
+    left, right = np.zeros((n, n)), np.zeros((n, n))
+    left[0, :2], left[-1, -2:] = (2, 1), (1, 2)
+    right[0, :2], right[-1, -2:] = (-3 / h[0], 3 / h[0]), (-3 / h[-1], 3 / h[-1])
+    for k in range(1, n - 1):
+        left[k, k - 1 : k + 2] = 1 / h[k - 1], 2 / h[k - 1] + 2 / h[k], 1 / h[k]
+        a, b = 3 / h[k - 1] ** 2, 3 / h[k] ** 2
+        right[k, k - 1 : k + 2] = -a, a - b, b
+    slope = np.linalg.solve(left, right)
+    out = []
+    for q in at:
+        i = min(int(np.searchsorted(x, q)) - 1, n - 2)
+        t = (q - x[i]) / h[i]
+        w = ((1 + 2 * t) * (1 - t) ** 2) * np.eye(n)[i] + t * t * (3 - 2 * t) * np.eye(n)[i + 1]
+        w = w + h[i] * (t * (1 - t) ** 2 * slope[i] - t * t * (1 - t) * slope[i + 1])
+        out += [(int(k), q, float(v)) for k, v in zip(knots, w)]
+    return out
+
+
+_SPLINE = ", ".join(f"({k}, {q!r}, CAST({w!r} AS DOUBLE))" for k, q, w in _spline_weights([float(4 * i) for i in range(16)], [1.0, 2.0, 3.0, 30.5]))
+
+
+@query(f"WITH {LINES}, w(x, q, w) AS (VALUES {_SPLINE}) SELECT trace, CAST(q AS DOUBLE) AS \"at\", round(sum(re * w), 6) + 0.0 AS v FROM lines JOIN w USING (x) GROUP BY trace, q")
 def spline_lines(spark, d):
     """Every fourth cell, interpolated between."""
     from ..operators import recon
@@ -954,3 +981,6 @@ def decay_basis(spark, d):
     b = stats.svd_basis(spark, a, 4)
     y = stats.apply_matrix(Tensor(t.select("row", "echo", F.col("v").alias("re"), F.lit(0.0).alias("im")), {"row": 16, "echo": 8}), "echo", b.conj())
     return out(stats.rss(y, "echo"), "row", energy="v")
+
+
+from . import further  # noqa: E402, F401  registers its queries here

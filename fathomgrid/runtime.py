@@ -10,8 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses spark.checkpoint.dir; sets a folder of our own only where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fathomgrid-checkpoint-")
-        spark.sparkContext.setCheckpointDir(at)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, spark.checkpoint.dir; where it is unset, one of our own if all run on this machine, else an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="fathomgrid-shared-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ class Tensor:
         return self.with_values(F.col("re"), -F.col("im"))
 
     def renamed(self, names: dict[str, str]) -> Tensor:
-        return Tensor(self.df.withColumnsRenamed(names), {names.get(d, d): n for d, n in self.shape.items()})
+        return Tensor(self.df.select(*(F.col(c).alias(names.get(c, c)) for c in self.df.columns)), {names.get(d, d): n for d, n in self.shape.items()})
 
     def chip(self, dim: str, at: int) -> Tensor:
         """The slice at one index, without that dimension (an equality that reaches the scan)."""
@@ -61,6 +61,15 @@ class Tensor:
         r = self.df.join(b, self.dims).agg(F.sum(F.col("re") * F.col("r2") + F.col("im") * F.col("i2")), F.sum(F.col("im") * F.col("r2") - F.col("re") * F.col("i2"))).first()
         return complex(r[0] or 0.0, r[1] or 0.0)
 
+    def checked_dot(self, other: Tensor, tolerance: float = 1e-6) -> float:
+        """The dot product where it must be real and finite; an error where it is not. Spark sums partials, then the partials."""
+        z = self.dot(other)
+        if not (z.real - z.real == 0 and z.imag - z.imag == 0):
+            raise ArithmeticError(f"a dot product is not finite: {z}")
+        if abs(z.imag) > tolerance * max(abs(z), 1e-300):
+            raise ArithmeticError(f"a dot product is not real: {z}")
+        return z.real
+
     def norm(self) -> float:
         return (self.df.agg(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).first()[0] or 0.0) ** 0.5
 
