@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -119,8 +120,8 @@ class Index:
         self.maxima = {t: np.maximum.reduceat(w, cut[:-1]) for t, (_, w, _, cut) in self.postings.items()}
         self.blocks = -(-len(self.vectors) // self.block)
 
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[int, float]]:
-        """(example, cosine) of the k examples of the highest cosine above 0, ties in the examples' order."""
+    def nearest(self, query: dict[int, float], k: int, ties: bool = False) -> list[tuple[int, float]]:
+        """(example, cosine) of the k examples of the highest cosine above 0, ties in the examples' order; with ties all that are as near as the k-th."""
         terms = [(t, x) for t, x in sorted(query.items()) if t in self.postings]
         bound = np.zeros(self.blocks)
         for t, x in terms:
@@ -128,7 +129,7 @@ class Index:
         order = np.argsort(-bound, kind="stable")
         best: list[tuple[float, int]] = []
         for b in order.tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
+            if bound[b] <= 0 or len(best) >= k and bound[b] < -best[k - 1][0] - 1e-12:
                 break
             score = np.zeros(self.block)
             for t, x in terms:
@@ -138,7 +139,9 @@ class Index:
                     s = slice(cut[i], cut[i + 1])
                     score[at[s] - b * self.block] += x * weight[s]
             best += [(-round(float(score[i]), 12), b * self.block + int(i)) for i in np.flatnonzero(score)]
-            best = sorted(best)[:k]
+            best.sort()
+            if len(best) > k:
+                del best[bisect_right(best, best[k - 1][0], key=lambda e: e[0]) if ties else k :]
         return [(e, -s) for s, e in best]
 
 
@@ -163,7 +166,10 @@ class Model:
         return {t: self.idf[t] / length for t in terms}
 
     def score(self, text: str) -> tuple[float, list[tuple[int | None, float, int]]]:
-        """Score and evidence: (id, cosine, label) of the neighbours. A vote weighs cosine / (1.05 - cosine); SHRINK votes are for the prior."""
+        """Score and evidence: (id, cosine, label) of the neighbours. A vote weighs cosine / (1.05 - cosine); SHRINK votes are for the prior.
+
+        Examples as near as the k-th share the votes that are left, so no order of the examples reaches a score.
+        """
         counts = self.terms(text)
         if not counts:
             return self.empty, []
@@ -171,11 +177,14 @@ class Model:
         if key not in self.memo:
             if len(self.memo) > 5_000:
                 self.memo.clear()
-            near = self.index.nearest(self.unit(counts), self.k)
-            votes = [(c / (1.05 - min(c, 1.0)), self.index.labels[e]) for e, c in near]
+            near = self.index.nearest(self.unit(counts), self.k, ties=True)
+            last = near[-1][1] if near else 0.0
+            alike = sum(c == last for _, c in near)
+            share = (min(self.k, len(near)) - len(near) + alike) / max(alike, 1)
+            votes = [(c / (1.05 - min(c, 1.0)) * (share if c == last else 1.0), self.index.labels[e]) for e, c in near]
             total = sum(w for w, _ in votes)
             s = (sum(w * y for w, y in votes) + SHRINK * self.prior) / (total + SHRINK)
-            self.memo[key] = min(max(s, 0.0), 1.0), [(self.index.ids[e], c, self.index.labels[e]) for e, c in near]
+            self.memo[key] = min(max(s, 0.0), 1.0), [(self.index.ids[e], c, self.index.labels[e]) for e, c in near[: self.k]]
         return self.memo[key]
 
 
@@ -283,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     """Learns from the rows of docs with a label whose crc32(id as text) mod 5 is not 0.
 
     Rows of labels without id or label are passed over; of several labels of an id the largest counts. No training rows:
-    a model that scores everything 0. max_features and max_examples bound what the driver and workers hold.
+    a model that scores everything 0. Ids and the order of rows change no score. max_features and max_examples bound what the driver and workers hold.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -310,9 +319,9 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     idf = [math.log((every + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(vocabulary))]
     vectors = materialize(train.mapInArrow(_vectors(vocabulary), "id long, y int, o long, t array<int>"), "examples")
     none, none_toxic = vectors.filter(F.size("t") == 0).agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    some = vectors.filter(F.size("t") > 0).orderBy("o", "id", "t").limit(max_examples).collect()
-    # examples with the same leading terms side by side: the blocks' bounds are then tight
-    examples = sorted(((list(r.t), r.y, r.id) for r in some), key=lambda e: (e[0], e[2] or 0, e[1]))
+    some = vectors.filter(F.size("t") > 0).orderBy("o", "y", "t", "id").limit(max_examples).collect()
+    # examples with the same leading terms side by side: the blocks' bounds are then tight; ids only order evidence of equal examples
+    examples = sorted(((list(r.t), r.y, r.id) for r in some), key=lambda e: (e[0], e[1], e[2] or 0))
     return Model(vocabulary, idf, examples, prior, (none_toxic + prior) / (none + 1), k)
 
 
@@ -340,6 +349,17 @@ def score(docs: DataFrame, model: Model, text: str = "text", evidence: bool = Tr
     return docs.mapInArrow(run, ", ".join(kinds))
 
 
+def calibration(scored: DataFrame, labels: DataFrame, bins: int = 10, id: str = "doc_id", label: str = "toxic", name: str = "_score") -> DataFrame:
+    """(bin, n, score, share, brier): for each of bins equal ranges of the score its rows with a label, their mean score, the share of toxic ones, and the mean squared difference.
+
+    Rows without score or label are passed over; of several labels of an id the largest counts. Calibrated: score and share agree.
+    """
+    known = labels.filter(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).alias("_i")).agg(F.max(label).cast("double").alias("_y"))
+    s = scored.select(F.col(id).alias("_i"), F.col(name).alias("_s")).filter("_s is not null").join(known, "_i")
+    at = F.least(F.floor(F.col("_s") * bins), F.lit(bins - 1)).cast("int").alias("bin")
+    return s.groupBy(at).agg(F.count("*").alias("n"), F.avg("_s").alias("score"), F.avg("_y").alias("share"), F.avg((F.col("_s") - F.col("_y")) * (F.col("_s") - F.col("_y"))).alias("brier"))
+
+
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs scored below threshold, with the columns of docs as they are, whatever their names.
 
@@ -351,8 +371,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    s = score(docs, fit(docs, load(spark, sf_dir, "labels")), evidence=False)
-    return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    s = score(docs, fit(docs, load(spark, sf_dir, "labels")))
+    told = F.concat_ws(" ", F.transform("_evidence", lambda e: F.concat_ws(":", e["id"].cast("string"), F.format_number(e["cosine"], 4), e["label"].cast("string"))))
+    return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), told.alias("evidence"))
 
 
 QUERIES = {"op3_toxicity": op3_toxicity}
