@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -92,8 +93,14 @@ class Stream:
     ended: bool = False
     faults: int = 0
 
-    def times(self, rate: int) -> list[float | None]:
-        return [g / rate if g >= 0 else None for g in self.granules]
+    def times(self, rate: int, samples: Callable[[bytes], int] | None = None) -> list[float | None]:
+        """The time at each packet's end. A page tells it for its last packet; with samples (of a packet) the packets before are counted back from there."""
+        ends = list(self.granules)
+        if samples is not None:
+            for k in range(len(ends) - 2, -1, -1):
+                if ends[k] < 0 <= ends[k + 1]:
+                    ends[k] = max(ends[k + 1] - samples(self.packets[k + 1]), 0)
+        return [g / rate if g >= 0 else None for g in ends]
 
 
 def pages_of(data: bytes, strict: bool = True):
@@ -195,7 +202,10 @@ def read(data: bytes) -> tuple[bytes, dict]:
         if len(own) != n or s.granules[-1] != n:
             raise OggError("samples are missing")
         channels[c] = own, count
-        pages, packets, seconds = pages + s.pages, packets + len(s.packets), max(seconds, s.times(rate)[-1])
+        times = s.times(rate, len)
+        if times[1:] != [min((k + 1) * len(s.packets[1]), n) / rate for k in range(len(times) - 1)]:
+            raise OggError("the granule positions are not the samples' places")
+        pages, packets, seconds = pages + s.pages, packets + len(s.packets), max(seconds, times[-1])
     if sorted(channels) != list(range(channels[0][1])):
         raise OggError("a channel is missing")
     samples = np.stack([channels[c][0] for c in sorted(channels)], 1)
