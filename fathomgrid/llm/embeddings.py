@@ -3,7 +3,7 @@
 Unit vectors with cosine >= t differ by a squared distance of at most 2 (1 - t). Vectors are rotated by a fixed
 orthogonal matrix and split into blocks of low dimension; each block gets the share of that budget that it has of the
 dimensions. If every block were over its budget, so would be the whole: linked vectors are within budget in some block.
-Each block is range-joined: its first dimensions are cut into cells, each vector is at home in one cell and replicated to
+Each block is range-joined: some of its dimensions (the more, the more vectors there are: see grid_dims) are cut into cells, each vector is at home in one cell and replicated to
 all cells within the block's radius. Within a cell, tiles of home rows and replicas are compared by one matrix product;
 pairs within budget in this block and in no earlier one (so that no pair counts twice) are verified by their cosine
 in double precision.
@@ -14,17 +14,22 @@ becomes many tasks of the same size. A tile emits counts and a spanning forest o
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, load, materialize, np_components, ship, small_or_shuffled
+from .textblocks import mix
 
 #: Rows of a tile's side, and how many of them are compared at once.
 TILE = 8192
 STRIP = 512
-GRID_DIMS = 3
+#: What a replica costs in comparisons, and the share of pairs that meet in a cell for each dimension cut, where vectors have no structure.
+REPLICA_COST = 1500
+MEETING = 0.85
 PLACED = "id long, b int, cell long, home boolean"
 ARROW_PLACED = pa.schema([("id", pa.int64()), ("b", pa.int32()), ("cell", pa.int64()), ("home", pa.bool_())])
 PACKED = "id long, m long, v binary"
@@ -50,10 +55,24 @@ def rotated(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
+def grid_dims(n: int, size: int) -> int:
+    """How many of a block's dimensions to cut for n vectors: each one cut leaves fewer comparisons a vector and makes more replicas of it.
+
+    A ball of half a cell's width reaches sum over k of C(g, k) V(k) / 2^k cells of a grid of g dimensions, V(k) the unit ball's volume.
+    """
+
+    def cost(g: int) -> float:
+        replicas = sum(math.comb(g, k) * math.pi ** (k / 2) / math.gamma(k / 2 + 1) / 2**k for k in range(g + 1))
+        return REPLICA_COST * replicas + n * MEETING**g
+
+    return min(range(1, min(size, 10) + 1), key=cost)
+
+
 class Blocks:
-    """The blocks of dimension d for cosine t: slices of rotated coordinates, squared-distance budgets, cells."""
+    """The blocks of dimension d for cosine t: slices of rotated coordinates, squared-distance budgets, cells over the first `cut` dimensions."""
 
-    def __init__(self, d: int, t: float, size: int):
+    def __init__(self, d: int, t: float, size: int, cut: int = 1):
+        self.cut = cut
         self.slices = [slice(i, min(i + size, d)) for i in range(0, d, size)]
         total = 2 * (1 - t) + 1e-9
         self.budget = [total * (s.stop - s.start) / d for s in self.slices]
@@ -62,7 +81,7 @@ class Blocks:
     def cells(self, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, cell, home) of the home cell of each row and of the cells within the radius of block k."""
         r = np.sqrt(self.budget[k])
-        g = y[:, self.slices[k]][:, :GRID_DIMS] / (2 * r)
+        g = y[:, self.slices[k]][:, : self.cut] / (2 * r)
         base = np.floor(g)
         inside = g - base
         rows, cells, home = [], [], []
@@ -71,18 +90,18 @@ class Blocks:
             gap = np.where(m < 0, inside, np.where(m > 0, 1 - inside, 0))
             near = np.flatnonzero((gap**2).sum(1) <= 0.25 + 1e-9)
             at = (base[near] + m).astype(np.int64)
-            code = np.zeros(len(near), np.int64)
+            code = np.zeros(len(near), np.uint64)
             for c in range(at.shape[1]):
-                code = code * 1_000_003 + at[:, c]
+                code = mix(code + at[:, c].view(np.uint64))
             rows.append(near)
-            cells.append(code)
+            cells.append(code.view(np.int64))
             home.append(np.full(len(near), not m.any()))
         return np.concatenate(rows), np.concatenate(cells), np.concatenate(home)
 
 
-def _place(d: int, t: float, size: int):
+def _place(d: int, t: float, size: int, cut: int):
     def run(batches):
-        b = Blocks(d, t, size)
+        b = Blocks(d, t, size, cut)
         for batch in batches:
             ids = batch.column("id").to_numpy()
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
@@ -171,7 +190,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block_dims: int =
     n_links: other rows whose vector has a cosine >= threshold with this one (exact copies included); component_id: the
     smallest id reachable by links, itself included; kept: it is the row's own. Vectors that are null, empty or zero or
     hold null or non-finite components link with nothing. Vectors of different length link with nothing. Null ids: no
-    links, component null, kept true. Rows of one id are one vector each; they share a component. No rows: no rows.
+    links, component null, kept true. Rows of one id are one vector each; they share a component. No rows: no rows. Ids are
+    whole numbers; others raise as Spark's cast does.
     """
     spark = vectors.sparkSession
     if not 0 < threshold <= 1:
@@ -188,12 +208,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block_dims: int =
     distinct = own.filter("h is not null").groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("m"), F.first("x").alias("x"))
     distinct = materialize(distinct, "distinct")
     found = None
-    for (d,) in distinct.select(F.size("x")).distinct().collect():  # lengths of vectors: one, or a few
+    for d, n in distinct.groupBy(F.size("x")).count().collect():  # lengths of vectors: one, or a few
         same = distinct.filter(F.size("x") == d).select(F.col("h").alias("id"), "m", "x")
-        placed = materialize(same.select("id", "x").mapInArrow(_place(d, threshold, min(block_dims, d)), PLACED), "placed")
+        placed = materialize(same.select("id", "x").mapInArrow(_place(d, threshold, min(block_dims, d), grid_dims(n, min(block_dims, d))), PLACED), "placed")
         packed = materialize(same.mapInArrow(_pack(d), PACKED), "packed")
         size = placed.groupBy("b", "cell").agg(F.count("*").alias("n"), F.count(F.when(F.col("home"), 1)).alias("nh")).filter("nh > 0 and n > 1")
-        both = placed.join(size, ["b", "cell"])
+        # cells are few next to rows: their sizes come to the rows, which are dealt only once, by tile
+        both = placed.join(small_or_shuffled(materialize(size, "cells")), ["b", "cell"])
         salt = F.abs(F.hash("id"))
         both = both.withColumn("rows", F.ceil(F.col("nh") / TILE).cast("int")).withColumn("columns", F.ceil(F.col("n") / TILE).cast("int"))
         left = both.filter("home").withColumn("r", F.pmod(salt, "rows")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).withColumn("left", F.lit(True))
