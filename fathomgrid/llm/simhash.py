@@ -1,19 +1,25 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A 64-bit fingerprint's bits 0-22 and 23-45 are each decoded by the perfect binary Golay code (length 23, 4096 code words,
-covering radius 3); the pair of code words is the fingerprint's home anchor. Fingerprints at distance t or less differ in
-at most t of these bits, so one lies within radius 3 + a of the other's first code word and 3 + b of its second one with
-a + b <= t. Each fingerprint is replicated to all such anchors (61 or so for t = 2, whatever the corpus) and compared
-with the fingerprints at home there. No link is lost, no link is found twice, and only true links leave the join.
-
-Scale: equal fingerprints are collapsed before the join, so copies cost one row. The join is an equi-join on 2^24 anchors
-whose large partitions Spark's adaptive execution splits. A fingerprint has at most 1 + 64 + 2016 others in reach.
+A 64-bit fingerprint is cut into blocks, each with a covering code: bits 0-22 and 23-45 have the perfect binary Golay code
+(length 23, 4096 code words, covering radius 3), bits 46-63 the perfect Hamming code of length 15 (2048 code words, covering
+radius 1) and three bits as they are. The nearest code words are the fingerprint's home anchor. Fingerprints at distance t or less differ
+in at most t places, so one lies within the covering radius plus a share of t of each of the other's code words, and the shares add
+up to t or less. Each fingerprint is replicated to all such anchors and compared with the fingerprints at home there. No
+link is lost, no link is found twice, and only true links leave the join.
+
+Scale: equal fingerprints are collapsed before the join, so copies cost one row. The Golay blocks give 2^24 anchors for 61 or so
+replicas (t = 2); the last block makes them 2^38 for 204. Fingerprints at home at one anchor are compared with all that reach it, so
+the last block is used where so many fingerprints meet at each of 2^24 that comparing them costs more than the replicas: the count
+decides, the links are the same. The join is an equi-join whose large partitions Spark's adaptive execution splits. A
+fingerprint has at most 1 + 64 + 2016 others in reach.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,24 +78,6 @@ def fingerprint_documents(docs: DataFrame, text: str = "text", shingle: int = 3,
     return docs.select(*rest, text).mapInArrow(run, kinds)
 
 
-def golay_cosets(reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each of 2048 syndromes (rows), the errors of weight up to 3 + reach with it and their weights beyond 3."""
-    words = np.arange(1 << 23, dtype=np.uint32)
-    weight = np.bitwise_count(words)
-    words = words[weight <= 3 + reach]
-    order = np.argsort(np.bitwise_count(words), kind="stable")
-    words = words[order]
-    s = golay_syndrome(words)
-    by = np.argsort(s, kind="stable")
-    size = np.bincount(s, minlength=2048)
-    errors = np.zeros((2048, size.max()), np.uint32)
-    beyond = np.full((2048, size.max()), 99, np.int8)
-    column = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
-    errors[s[by], column] = words[by]
-    beyond[s[by], column] = np.maximum(0, np.bitwise_count(words[by]).astype(np.int8) - 3)
-    return errors, beyond, size
-
-
 def golay_syndrome(x: np.ndarray) -> np.ndarray:
     """Remainder of the polynomial x (23 bits) by the generator."""
     x = x.astype(np.uint32)
@@ -98,35 +86,82 @@ def golay_syndrome(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def anchors_of(fp: np.ndarray, reach: int, cosets) -> tuple[np.ndarray, np.ndarray]:
+def hamming_syndrome(x: np.ndarray) -> np.ndarray:
+    """The exclusive or of the places (1 to 15) of the bits set among the lowest 15; further bits are as they are."""
+    out = np.zeros(len(x), np.uint32)
+    for i in range(15):
+        out ^= ((x.astype(np.uint32) >> np.uint32(i)) & np.uint32(1)) * np.uint32(i + 1)
+    return out
+
+
+@dataclass(frozen=True)
+class Code:
+    """A perfect code of length and radius over the lowest bits of a block of size bits; each further bit is a word of its own."""
+
+    size: int
+    length: int
+    radius: int
+    syndromes: int
+    syndrome: Callable[[np.ndarray], np.ndarray]
+
+    def cosets(self, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each syndrome (rows) the errors that lead to code words, and by how much they are beyond the radius, at most reach."""
+        words = np.arange(1 << self.size, dtype=np.uint32)
+        inside = np.bitwise_count(words & np.uint32((1 << self.length) - 1)).astype(np.int8)
+        excess = np.maximum(0, inside - self.radius) + np.bitwise_count(words >> np.uint32(self.length)).astype(np.int8)
+        words, excess = words[excess <= reach], excess[excess <= reach]
+        order = np.argsort(excess, kind="stable")
+        words, excess = words[order], excess[order]
+        s = self.syndrome(words)
+        by = np.argsort(s, kind="stable")
+        count = np.bincount(s, minlength=self.syndromes)
+        errors = np.zeros((self.syndromes, count.max()), np.uint32)
+        beyond = np.full((self.syndromes, count.max()), 99, np.int8)
+        column = np.arange(len(words)) - np.repeat(np.cumsum(count) - count, count)
+        errors[s[by], column] = words[by]
+        beyond[s[by], column] = excess[by]
+        return errors, beyond
+
+
+TWO_BLOCKS = (Code(23, 23, 3, 2048, golay_syndrome),) * 2
+ALL_BLOCKS = (*TWO_BLOCKS, Code(18, 15, 1, 16, hamming_syndrome))
+#: Beyond so many fingerprints, eight at home at each of 2^24 anchors, all blocks are used.
+CROWDED = 1 << 27
+
+
+def anchors_of(fp: np.ndarray, reach: int, codes: tuple[Code, ...], cosets: list) -> tuple[np.ndarray, np.ndarray]:
     """(row, anchor) of all anchors in reach of each fingerprint; with reach 0 the home anchors, in order."""
-    errors, beyond, _ = cosets
-    mask = np.uint64((1 << 23) - 1)
-    parts = [(fp & mask).astype(np.uint32), ((fp >> np.uint64(23)) & mask).astype(np.uint32)]
-    s = [golay_syndrome(x) for x in parts]
-    row, one = np.nonzero(beyond[s[0]] <= reach)
-    first = parts[0][row] ^ errors[s[0][row], one]
-    left = reach - beyond[s[0][row], one]
-    at, two = np.nonzero(beyond[s[1][row]] <= left[:, None])
-    row, first = row[at], first[at]
-    second = parts[1][row] ^ errors[s[1][row], two]
-    return row, first.astype(np.int64) << 23 | second.astype(np.int64)
-
-
-def near_links(fingerprints: DataFrame, distance: int = 2, name: str = "fp") -> DataFrame:
-    """(u, v), u < v as longs: every pair of distinct values of the column whose 64 bits differ in 1 to distance places."""
+    row, left, anchor = np.arange(len(fp)), np.full(len(fp), reach, np.int8), np.zeros(len(fp), np.uint64)
+    shift = 0
+    for code, (errors, beyond) in zip(codes, cosets):
+        block = ((fp >> np.uint64(shift)) & np.uint64((1 << code.size) - 1)).astype(np.uint32)
+        s = code.syndrome(block)
+        at, k = np.nonzero(beyond[s[row]] <= left[:, None])
+        row, left, anchor = row[at], left[at], anchor[at]
+        left = left - beyond[s[row], k]
+        anchor = anchor << np.uint64(code.size) | (block[row] ^ errors[s[row], k]).astype(np.uint64)
+        shift += code.size
+    return row, anchor.view(np.int64)
+
+
+def near_links(fingerprints: DataFrame, distance: int = 2, name: str = "fp", codes: tuple[Code, ...] | None = None) -> DataFrame:
+    """(u, v), u < v as longs: every pair of distinct values of the column whose 64 bits differ in 1 to distance places.
+
+    codes: the blocks' codes, by the count of the values if not given; the links do not depend on it.
+    """
     if not 0 <= distance <= 3:
         raise ValueError("distance is 0 to 3")
     ship(fingerprints.sparkSession)
+    codes = codes or (ALL_BLOCKS if fingerprints.count() > CROWDED else TWO_BLOCKS)
 
     def placed(reach):
         def run(batches):
-            cosets = golay_cosets(reach)
+            cosets = [c.cosets(reach) for c in codes]
             for b in batches:
                 fp = b.column(0).to_numpy(zero_copy_only=False)
                 for at in range(0, len(fp), 4096):
                     part = fp[at : at + 4096]
-                    row, anchor = anchors_of(part.view(np.uint64), reach, cosets)
+                    row, anchor = anchors_of(part.view(np.uint64), reach, codes, cosets)
                     yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[row])], ["anchor", "fp"])
 
         return run
