@@ -38,16 +38,35 @@ def dft(spark: SparkSession, shape: Shape, dim: str, sign: float = -1.0) -> Spar
 
 
 class FFT(LinOp):
-    """The same transform over packed lines, along one or more axes: one shuffle brings each line's (or volume's) cells together."""
+    """The same transform over packed lines, along one or more axes: a shuffle brings the cells of as many axes together as make at most most cells.
 
-    def __init__(self, shape: Shape, dims: list[str]):
+    The transform is separable, so a volume too large for a row goes a few axes, at least one, at a time.
+    """
+
+    def __init__(self, shape: Shape, dims: list[str], most: int = 1 << 20):
         for d in dims:
             _even(shape[d])
         self.ishape = self.oshape = dict(shape)
         self.over = dims
+        self.most = most
+
+    def passes(self) -> list[list[str]]:
+        """The axes of each shuffle."""
+        out: list[list[str]] = []
+        for d in self.over:
+            if out and math.prod(self.ishape[c] for c in out[-1]) * self.ishape[d] <= self.most:
+                out[-1].append(d)
+            else:
+                out.append([d])
+        return out
 
     def _run(self, x: Tensor, inverse: bool) -> Tensor:
-        over, sizes, dims = self.over, [self.ishape[d] for d in self.over], x.dims
+        for over in self.passes():
+            x = self._along(x, over, inverse)
+        return x
+
+    def _along(self, x: Tensor, over: list[str], inverse: bool) -> Tensor:
+        sizes, dims = [self.ishape[d] for d in over], x.dims
         others = [d for d in dims if d not in over]
         cells = math.prod(sizes)
         index = np.indices(sizes).reshape(len(sizes), -1).astype(np.int32)
@@ -83,7 +102,7 @@ class FFT(LinOp):
         return self._run(y, True)
 
     def looped(self, dim, n):
-        return FFT({**self.ishape, dim: n}, self.over)
+        return FFT({**self.ishape, dim: n}, self.over, self.most)
 
 
 def coordinates(points: DataFrame, axes: dict[str, str], matrix: int, osamp: float) -> tuple[DataFrame, int]:

@@ -32,10 +32,10 @@ def _abs():
 
 
 class L1(Prox):
-    """Soft threshold by alpha * lam."""
+    """Soft threshold by alpha * lam; the conjugate's bias may be weighted by m."""
 
-    def __init__(self, lam: float, bias: Tensor | None = None):
-        self.lam, self.bias = lam, bias
+    def __init__(self, lam: float, bias: Tensor | None = None, m: LinOp | None = None):
+        self.lam, self.bias, self.m = lam, bias, m
 
     def apply(self, alpha, x):
         m = _abs()
@@ -45,7 +45,7 @@ class L1(Prox):
 
     def conj(self, alpha, x):
         if self.bias is not None:
-            x = combine([(1, x), (-alpha, self.bias)])
+            x = combine([(1, x), (-alpha * self.lam, self.bias if self.m is None else self.m.forward(self.bias))])
         return _scaled(x, self.lam / F.greatest(_abs(), F.lit(self.lam)))
 
 
@@ -84,10 +84,10 @@ class L2(Prox):
 
 
 class SumOfSquares(Prox):
-    """Half the squared distance to b."""
+    """Half the squared distance to b; the conjugate may be weighted by m, which has an inverse."""
 
-    def __init__(self, b: Tensor | None = None):
-        self.b = b
+    def __init__(self, b: Tensor | None = None, m: LinOp | None = None):
+        self.b, self.m = b, m
 
     def apply(self, alpha, x):
         if self.b is None:
@@ -95,6 +95,8 @@ class SumOfSquares(Prox):
         return combine([(1 / (1 + alpha), x), (alpha / (1 + alpha), self.b)])
 
     def conj(self, alpha, x):
+        if self.b is not None and self.m is not None:
+            return self.m.inverse(combine([(1, x), (-alpha, self.m.forward(self.b))]), alpha, 1.0)
         if self.b is None:
             return x.scaled(1 / (1 + alpha))
         return combine([(1 / (1 + alpha), x), (-alpha / (1 + alpha), self.b)])

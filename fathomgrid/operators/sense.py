@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,9 +182,128 @@ def shifted(data: DataFrame, axes: dict[str, float], re: str = "re", im: str = "
     return data.withColumns({re: F.when(bad, 0.0).otherwise(turn[0]), im: F.when(bad, 0.0).otherwise(turn[1])})
 
 
+#: A dictionary of so many values or fewer goes to the tasks as one matrix (32 MB); a larger one is joined.
+DICTIONARY_VALUES = 1 << 22
+
+
+def _matrix(atoms: DataFrame, atom: str, at: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(atoms in order, components in order, matrix) of a small dictionary."""
+    rows = atoms.select(atom, at, F.col("v").cast("double").alias("v")).toPandas()
+    names, i = np.unique(rows[atom].to_numpy(), return_inverse=True)
+    parts, j = np.unique(rows[at].to_numpy(), return_inverse=True)
+    m = np.zeros((len(names), len(parts)))
+    np.add.at(m, (i, j), rows["v"].to_numpy())
+    return names, parts, m
+
+
+def _by_matrix(points: DataFrame, names: np.ndarray, parts: np.ndarray, choose: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], key: str, atom: str, at: str) -> DataFrame:
+    """(key, atom, rho): choose gives for a block of points over the components the places of the atoms and rho; points without any component of the dictionary have no row."""
+
+    def run(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, 4096):
+                part = b.slice(start, 4096)
+                lists = part.column("_z")
+                line = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                c, v = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(2))
+                k = np.minimum(np.searchsorted(parts, c), max(len(parts) - 1, 0))
+                known = parts[k] == c
+                p = np.zeros((part.num_rows, len(parts)))
+                np.add.at(p, (line[known], k[known]), v[known])
+                has = np.bincount(line[known], minlength=part.num_rows) > 0
+                best, rho = choose(p[has])
+                yield pa.RecordBatch.from_arrays([part.column(key).filter(pa.array(has)), pa.array(names[best]), pa.array(rho)], [key, atom, "rho"])
+
+    kind = points.schema[key].dataType.simpleString()
+    name = {"i": "int" if names.dtype.itemsize <= 4 else "long"}.get(names.dtype.kind, "string")
+    points = points.filter(F.col(at).isNotNull() & F.col("v").isNotNull())
+    packed = points.groupBy(key).agg(F.collect_list(F.struct(at, F.col("v").cast("double").alias("v"))).alias("_z"))
+    return packed.mapInArrow(run, f"{key} {kind}, {atom} {name}, rho double")
+
+
 def dictionary_match(points: DataFrame, atoms: DataFrame, key: str, atom: str, at: str) -> DataFrame:
-    """For each point the atom of the largest |<d, p>| (first on ties) and the inner product: a join on the component, a sum, a max_by."""
+    """For each point the atom of the largest |<d, p>| (first on ties) and the inner product.
+
+    A dictionary that fits a task is multiplied with blocks of packed points; a larger one is joined on the component, summed and the best
+    taken by max_by. Points without any component of the dictionary, and empty dictionaries, give no rows.
+    """
+    if 0 < atoms.count() <= DICTIONARY_VALUES:
+        names, parts, m = _matrix(atoms, atom, at)
+
+        def choose(p):
+            dots = p @ m.T
+            best = np.argmax(np.round(np.abs(dots), 9), axis=1)
+            return best, dots[np.arange(len(p)), best]
+
+        return _by_matrix(points, names, parts, choose, key, atom, at)
     d = atoms.select(atom, at, F.col("v").alias("dv"))
-    dots = points.join(F.broadcast(d), at).groupBy(key, atom).agg(F.sum(F.col("v") * F.col("dv")).alias("rho"))
+    dots = points.join(d, at).groupBy(key, atom).agg(F.sum(F.col("v") * F.col("dv")).alias("rho"))
     best = F.max_by(F.struct(atom, "rho"), F.struct(F.round(F.abs("rho"), 9), -F.col(atom)))
     return dots.groupBy(key).agg(best.alias("best")).select(key, f"best.{atom}", "best.rho")
+
+
+@dataclass
+class BallTree:
+    """Unit atoms in a binary tree: a node's centre is the mean of its atoms, left and right are its children (-1: none), first is its first atom."""
+
+    centre: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    first: np.ndarray
+
+    @staticmethod
+    def of(matrix: np.ndarray) -> BallTree:
+        """Splits by two seeds: the atom least like the centre and the one least like that; ties go to the left, the first seed's side.
+
+        Two atoms are a child each, in their order. Atoms that cannot be parted are one leaf.
+        """
+        length = np.linalg.norm(matrix, axis=1, keepdims=True)
+        unit = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
+        centre, left, right, first = [], [], [], []
+
+        def node(members):
+            centre.append(unit[members].mean(axis=0))
+            left.append(-1)
+            right.append(-1)
+            first.append(members[0])
+            return len(centre) - 1
+
+        open_ = [(node(np.arange(len(unit))), np.arange(len(unit)))]
+        while open_:
+            at, members = open_.pop()
+            if len(members) < 2:
+                continue
+            if len(members) == 2:
+                sides = members[:1], members[1:]
+            else:
+                seed = members[np.argmin(unit[members] @ centre[at])]
+                other = members[np.argmin(unit[members] @ unit[seed])]
+                far = unit[members] @ unit[seed] < unit[members] @ unit[other]
+                sides = members[~far], members[far]
+            if all(map(len, sides)):
+                left[at], right[at] = node(sides[0]), node(sides[1])
+                open_ += [(left[at], sides[0]), (right[at], sides[1])]
+        return BallTree(np.array(centre), np.array(left), np.array(right), np.array(first))
+
+    def find(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each point the leaf's first atom and the product with its centre: from the root to the child whose centre has the larger |product|, left on ties."""
+        at = np.zeros(len(p), int)
+        while (inner := np.flatnonzero(self.left[at] >= 0)).size:
+            a, b = self.left[at[inner]], self.right[at[inner]]
+            near = np.abs(np.einsum("ij,ij->i", p[inner], self.centre[a])) < np.abs(np.einsum("ij,ij->i", p[inner], self.centre[b]))
+            at[inner] = np.where(near, b, a)
+        return self.first[at], np.einsum("ij,ij->i", p, self.centre[at])
+
+
+def dictionary_tree_match(points: DataFrame, atoms: DataFrame, key: str, atom: str, at: str) -> DataFrame:
+    """For each point the atom at which a ball tree's descent ends, and the product with that unit atom: fast and not always the best one.
+
+    The tree goes to each task, so a dictionary beyond DICTIONARY_VALUES is an error; an empty one gives no rows.
+    """
+    n = atoms.count()
+    if n > DICTIONARY_VALUES:
+        raise ValueError(f"a dictionary of {n} values is too large for a tree in each task")
+    if not n:
+        return points.select(key, points[key].alias(atom), F.lit(0.0).alias("rho")).limit(0)
+    names, parts, m = _matrix(atoms, atom, at)
+    return _by_matrix(points, names, parts, BallTree.of(m).find, key, atom, at)

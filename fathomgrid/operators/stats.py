@@ -23,11 +23,15 @@ def gram(t: Tensor, variable: str, demean: bool = False, ddof_axis: str = "varia
         m = df.groupBy(variable).agg(F.avg("re").alias("mr"), F.avg("im").alias("mi"))
         df = df.join(m, variable).select(*t.dims, (F.col("re") - F.col("mr")).alias("re"), (F.col("im") - F.col("mi")).alias("im"))
     n = t.shape[variable] if ddof_axis == "variables" else int(np.prod([t.shape[d] for d in keys]))
-    a = df.select(*keys, F.col(variable).alias("a"), F.col("re").alias("ar"), F.col("im").alias("ai"))
-    b = df.select(*keys, F.col(variable).alias("b"), F.col("re").alias("br"), F.col("im").alias("bi"))
-    j = a.join(b, keys)
+    # the variables of a key meet in one row, as many as there are variables: one shuffle, and pairs are summed where they are made
+    packed = df.groupBy(*keys).agg(F.collect_list(F.struct(F.col(variable).alias("a"), F.col("re").alias("ar"), F.col("im").alias("ai"))).alias("_z"))
+    one = packed.select("_z", F.explode("_z").alias("_x")).select("_z", "_x.*")
+    other = F.transform("_z", lambda z: F.struct(z["a"].alias("b"), z["ar"].alias("br"), z["ai"].alias("bi")))
+    j = one.select("a", "ar", "ai", F.explode(other).alias("_y")).select("a", "ar", "ai", "_y.*").filter("a <= b")
     re, im = F.col("ar") * F.col("br") + F.col("ai") * F.col("bi"), F.col("ar") * F.col("bi") - F.col("ai") * F.col("br")
-    return j.groupBy("a", "b").agg((F.sum(re) / (n - 1)).alias("re"), (F.sum(im) / (n - 1)).alias("im"))
+    half = j.groupBy("a", "b").agg((F.sum(re) / (n - 1)).alias("re"), (F.sum(im) / (n - 1)).alias("im"))
+    mirror = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "re", (-F.col("im")).alias("im"))
+    return half.select(F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b", "re", "im"))).otherwise(F.array(F.struct("a", "b", "re", "im"), mirror))).alias("_g")).select("_g.*")
 
 
 def correlation(t: Tensor, variable: str) -> DataFrame:
@@ -67,27 +71,27 @@ def otsu(values: DataFrame, column: str = "v", bins: int = 128) -> DataFrame:
 def nearest_rank(values: DataFrame, fractions: list[float], column: str = "v", rule: str = "image") -> DataFrame:
     """(p, v): the sorted value at trunc(p (n - 1)) (rule image) or trunc(n p) (rule data); p is a fraction.
 
-    A range sort: partitions are counted, then only the partitions that hold a wanted rank are ranked. No interpolation.
+    A range sort: partitions are counted, then only the partitions that hold wanted ranks are read again, once, and ranked each on its own.
     """
     spark = values.sparkSession
-    n = values.filter(F.col(column).isNotNull()).count()
-    if not n:
-        return spark.createDataFrame([], "p double, v double")
-    rank = {p: min(n - 1, int(p * (n - 1)) if rule == "image" else int(n * p)) for p in fractions}
-    parts = values.select(F.col(column).cast("double").alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("c")).repartitionByRange("v")
-    parts = parts.withColumn("part", F.spark_partition_id())
-    start, at = {}, 0
+    x = values.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    parts = x.groupBy("v").agg(F.count("*").alias("c")).repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    ranges, n = [], 0
     for r in parts.groupBy("part").agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("lo").collect():
-        start[r.part] = (at, r.c, r.lo, r.hi)
-        at += r.c
-    out = None
-    for p, k in rank.items():
-        before, _, lo, hi = next(x for x in start.values() if x[0] <= k < x[0] + x[1])
-        w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        inside = values.select(F.col(column).cast("double").alias("v")).filter(F.col("v").between(lo, hi)).groupBy("v").agg(F.count("*").alias("c"))
-        one = inside.withColumn("upto", F.sum("c").over(w)).filter(F.col("upto") > k - before).agg(F.min("v").alias("v")).select(F.lit(float(p)).alias("p"), "v")
-        out = one if out is None else out.unionByName(one)
-    return out
+        ranges.append((n, n + r.c, r.lo, r.hi))
+        n += r.c
+    if not n or not fractions:
+        return spark.createDataFrame([], "p double, v double")
+    rank = {float(p): min(n - 1, int(p * (n - 1)) if rule == "image" else int(n * p)) for p in fractions}
+    held = {k: next(i for i, (first, end, _, _) in enumerate(ranges) if first <= k < end) for k in rank.values()}
+    # NaN is the largest value, and equal to itself
+    part = F.coalesce(*(F.when(F.col("v").between(*ranges[i][2:]), F.lit(i)) for i in sorted(set(held.values()))))
+    inside = x.withColumn("part", part).filter("part is not null").groupBy("part", "v").agg(F.count("*").alias("c"))
+    start = F.element_at(F.create_map(*(F.lit(y) for i in set(held.values()) for y in (i, ranges[i][0]))), F.col("part"))
+    upto = F.sum("c").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = inside.withColumn("upto", start + upto)
+    here = F.array_compact(F.array(*(F.when((F.col("upto") - F.col("c") <= k) & (F.col("upto") > k), F.lit(p)) for p, k in rank.items())))
+    return ranked.select(F.explode(here).alias("p"), "v")
 
 
 def scale_bart(values: DataFrame, column: str = "v", rule: str = "image") -> DataFrame:

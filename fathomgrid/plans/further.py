@@ -374,3 +374,72 @@ def store_matrix(spark, d):
     sink.write("mean", t)
     v = store.read_matrix(spark, at, sink.write("mean", t))
     return spark.createDataFrame([(i, round(float(x.real), 6) + 0.0) for i, x in enumerate(v)], "channel int, mean double")
+
+
+# ---- primal-dual solvers, dictionary by a tree ----
+
+
+def _primal_dual_sql(steps: int, lam: float, lad: bool = False, adaptive: bool = False, restart: int | None = None) -> str:
+    """The steps over all lines, one after the other: b data, y and w duals, xx the image, mx, my, mw the averages of the period."""
+    before = "coalesce(lag({c}) OVER s, last_value({c}) OVER (PARTITION BY trace ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+    grad = "((coalesce(lead({c}) OVER s, first_value({c}) OVER s) - {c}) / 2)"
+    adj = f"(({before} - {{c}}) / 2)"
+    over = "WINDOW s AS (PARTITION BY trace ORDER BY x)"
+    data = "(y + sigma * (bar - b))"
+    dual = f"{data} / greatest(abs({data}), 1.0e0)" if lad else f"{data} / (1 + sigma)"
+    reg = f"(w + sigma * {grad.format(c='bar')})"
+    with_ = [
+        "v0 AS MATERIALIZED (SELECT trace, x, re AS b, 0.0e0 AS y, 0.0e0 AS w, 0.0e0 AS xx, 0.0e0 AS bar, 0.0e0 AS mx, 0.0e0 AS my, 0.0e0 AS mw FROM lines)",
+        "s0 AS MATERIALIZED (SELECT 1 / sqrt(2.0e0) AS sigma, 1 / sqrt(2.0e0) AS tau, 0.5e0 AS change)",
+    ]
+    for k in range(1, steps + 1):
+        n = (k - 1) % restart + 2 if restart else 2
+        with_.append(f"y{k} AS MATERIALIZED (SELECT trace, x, b, xx AS x0, y AS y0, w AS w0, {dual} AS y, {lam}e0 * {reg} / greatest(abs({reg}), {lam}e0) AS w, mx, my, mw, sigma, tau FROM v{k - 1}, s{k - 1} {over})")
+        with_.append(f"x{k} AS MATERIALIZED (SELECT *, x0 - tau * (y + {adj.format(c='w')}) AS xx FROM y{k} {over})")
+        mean = ", ".join(f"m{c} + ({v} - m{c}) / {n} AS m{c}" for c, v in (("x", "xx"), ("y", "y"), ("w", "w")))
+        end = bool(restart) and k % restart == 0
+        again = "mx AS xx, mx AS bar, my AS y, mw AS w, mx, my, mw" if end else "xx, 2 * xx - x0 AS bar, y, w, mx, my, mw"
+        with_.append(f"m{k} AS MATERIALIZED (SELECT trace, x, b, x0, xx, y, w, {mean} FROM x{k})")
+        with_.append(f"v{k} AS MATERIALIZED (SELECT trace, x, b, {again} FROM m{k})")
+        if adaptive:
+            with_.append(f"d{k} AS MATERIALIZED (SELECT trace, x, x0 - xx AS dx, y0 - y AS dy, w0 - w AS dw, sigma, tau FROM x{k})")
+            sides = f"dx / tau - dy AS p0, dx / tau - {adj.format(c='dw')} AS p1, dy / sigma - dx AS q0, dw / sigma - {grad.format(c='dx')} AS q1"
+            with_.append(f"r{k} AS MATERIALIZED (SELECT sqrt(sum(p0 * p0 + p1 * p1)) AS p, sqrt(sum(q0 * q0 + q1 * q1)) AS q FROM (SELECT {sides} FROM d{k} {over}))")
+            f = "CASE WHEN p > 1.5e0 * q THEN 1 - change WHEN p < q / 1.5e0 THEN 1 / (1 - change) ELSE 1.0e0 END"
+            with_.append(f"s{k} AS MATERIALIZED (SELECT sigma * ({f}) AS sigma, tau / ({f}) AS tau, CASE WHEN p > 1.5e0 * q OR p < q / 1.5e0 THEN change * 0.95e0 ELSE change END AS change FROM s{k - 1}, r{k})")
+        else:
+            with_.append(f"s{k} AS MATERIALIZED (SELECT * FROM s{k - 1})")
+    return f"WITH {LINES}, {', '.join(with_)} SELECT trace, x, round({'mx' if restart else 'xx'}, 6) + 0.0 AS re FROM v{steps}"
+
+
+def _primal_dual(spark, d, **how):
+    x = _lines(spark, d)
+    reg = solvers.Regulariser(prox.L1(0.05), differences.gradient(spark, S, ["x"]))
+    return out(solvers.PDHG(Identity(S), [reg], tol=0.0, **how).run(x).df, "trace", "x", re="re")
+
+
+@query(_primal_dual_sql(4, 0.05, adaptive=True))
+def pdhg_adaptive(spark, d):
+    """Total variation of all lines at once, steps that follow the residuals."""
+    return _primal_dual(spark, d, iterations=4, adaptive=True)
+
+
+@query(_primal_dual_sql(3, 0.05, lad=True))
+def pdhg_lad(spark, d):
+    """The same with the absolute deviation as data term."""
+    return _primal_dual(spark, d, iterations=3, lad=True)
+
+
+@query(_primal_dual_sql(4, 0.05, restart=2))
+def pdhg_restarted(spark, d):
+    """Restarts to the averages."""
+    return _primal_dual(spark, d, iterations=4, restart=2)
+
+
+@query()
+def dictionary_tree(spark, d):
+    """Each line by a ball tree over the channel means."""
+    t = lines(spark, d).df
+    e = read(spark, d, "embeddings").select(F.col("vec_id").alias("trace"), F.col("label").alias("atom"))
+    atoms = t.join(e, "trace").groupBy("atom", "x").agg(F.avg("re").alias("v"))
+    return out(sense.dictionary_tree_match(t.select("trace", "x", F.col("re").alias("v")), atoms, "trace", "atom", "x"), "trace", "atom", rho="rho")
