@@ -203,10 +203,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block_dims: int =
     # largest component 1: lengths neither overflow nor vanish in the squares
     scaled = F.transform("x", lambda a: a / F.array_max(F.transform("x", F.abs)))
     own = own.withColumn("x", F.when(sound, F.when(F.array_max(F.transform("x", F.abs)).between(1e-100, 1e100), F.col("x")).otherwise(scaled)))
-    own = materialize(own.withColumn("h", F.when(sound, F.xxhash64("x"))), "vectors")
-    # a vector is known by its hash from here on
-    distinct = own.filter("h is not null").groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("m"), F.first("x").alias("x"))
-    distinct = materialize(distinct, "distinct")
+    own = own.withColumns({"k1": F.when(sound, F.xxhash64("x")), "k2": F.when(sound, F.xxhash64(F.lit(1), "x"))})
+    own = materialize(own, "vectors")
+    # equal vectors are known by 128 bits, and each distinct one by a number from here on
+    distinct = own.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count("*").alias("m"), F.first("x").alias("x"))
+    distinct = materialize(distinct.withColumn("h", F.monotonically_increasing_id()), "distinct")
     found = None
     for d, n in distinct.groupBy(F.size("x")).count().collect():  # lengths of vectors: one, or a few
         same = distinct.filter(F.size("x") == d).select(F.col("h").alias("id"), "m", "x")
@@ -229,11 +230,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block_dims: int =
     found = materialize(found, "links")
     links = found.filter("v is null").groupBy("u").agg(F.sum("n").alias("n"))
     comp = connected_components(found.filter("v is not null").select("u", "v"))
-    classes = distinct.select("h", "least", "m").join(comp, F.col("h") == comp.node, "left").withColumn("c", F.coalesce("component", "h"))
+    classes = distinct.select("h", "k1", "k2", "least", "m").join(comp, F.col("h") == comp.node, "left").withColumn("c", F.coalesce("component", "h"))
     ids = classes.groupBy("c").agg(F.min("least").alias("component_id"))
     links = links.withColumnRenamed("u", "h")
-    named = classes.join(ids, "c").join(links, "h", "left").select(F.col("h").alias("g"), "component_id", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    out = own.join(small_or_shuffled(materialize(named, "named")), F.col("h") == F.col("g"), "left")
+    named = classes.join(ids, "c").join(links, "h", "left").select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), "component_id", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    out = own.join(small_or_shuffled(materialize(named, "named")), (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")), "left")
     c = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), c.alias("component_id"), F.coalesce(c == F.col("id"), F.lit(True)).alias("kept"))
 
