@@ -2,7 +2,8 @@
 
 Terms are lower-case words and their first four and five letters (marked *), and the same with #n where a text has them n
 times or more. The vocabulary holds the terms whose share of
-toxic training documents is above the prior's beyond chance, so cosines compare what tells, not prose; it is
+toxic training documents is above the prior's beyond chance, so cosines compare what tells, not prose. All such terms of
+the toxic texts are in it; beyond max_examples toxic texts, those of so many (drawn by a hash) are. Terms are
 counted over all distinct labelled training texts but verified near copies of a counted one with the same label, document
 frequencies over all documents. Examples are labelled rows
 with at least one term, at most max_examples (drawn by a hash of their text): the index fits a worker, whatever the corpus.
@@ -35,7 +36,6 @@ from .textblocks import LOWER, blocks, window_hashes, word_hashes, word_spans
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5)
 LEVELS = (1, 2, 3, 5)
-MAX_FEATURES = 4096
 MAX_EXAMPLES = 20_000
 #: A term is taken if its toxic documents are so many, its odds so many times the prior's, and if by chance one term or so of all would do as well.
 LEAST_DOCS = 3
@@ -205,6 +205,15 @@ def _term_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([toxic[t] for t in every], pa.int64())], ["term", "n", "toxic"])
 
 
+def _own_terms(batches):
+    """The distinct terms of each batch of texts."""
+    for b in batches:
+        own = set()
+        for t in b.column("text"):
+            own.update(terms_of(t.as_py() or ""))
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(own), pa.string())], ["term"])
+
+
 def _shingles(texts: pa.Array):
     """(first row, rows, row of each shingle from there, its hash) for each block of texts; texts of fewer words have none."""
     for row, data, offsets in blocks(texts):
@@ -288,11 +297,12 @@ def _vectors(vocabulary: list[str]):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", max_features: int = MAX_FEATURES, max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> Model:
     """Learns from the rows of docs with a label whose crc32(id as text) mod 5 is not 0.
 
     Rows of labels without id or label are passed over; of several labels of an id the largest counts. No training rows:
-    a model that scores everything 0. Ids and the order of rows change no score. max_features and max_examples bound what the driver and workers hold.
+    a model that scores everything 0. Ids and the order of rows change no score. max_examples bounds the texts that
+    the vocabulary and the examples are drawn from, and so what the driver and workers hold; counts cover all rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -302,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     rows, toxic = train.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not rows:
         return Model([], [], [], 0.0, 0.0, k)
-    single = _without_copies(train).select("text", "y")
+    single = _without_copies(train).select("o", "text", "y")
     total, bad = single.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     counts = single.mapInArrow(_term_counts, "term string, n long, toxic long")
     counts = materialize(counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("x")).filter(F.col("n") >= LEAST_DOCS), "terms")
@@ -312,7 +322,11 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     told = F.col("n") * (share * F.log(share / prior) + miss) if 0 < prior < 1 else F.lit(0.0)
     telling = (F.col("x") >= LEAST_DOCS) & (share * (1 - prior) >= LEAST_ODDS * prior * (1 - share))
     chosen = counts.filter(telling).withColumn("z", told).filter(F.col("z") >= evidence)
-    vocabulary = without_longer([(r.term, r.z) for r in chosen.orderBy(F.col("z").desc(), "term").limit(max_features).collect()])
+    drawn = single.filter("y = 1")
+    if bad > max_examples:
+        drawn = drawn.filter(F.col("o") <= drawn.select("o").orderBy("o").limit(max_examples).agg(F.max("o")).first()[0])
+    own = drawn.select("text").mapInArrow(_own_terms, "term string").distinct()
+    vocabulary = without_longer([(r.term, r.z) for r in chosen.join(own, "term", "left_semi").orderBy(F.col("z").desc(), "term").collect()])
     frequency = docs.select(F.col(text).alias("text")).mapInArrow(_frequencies(vocabulary), "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
     df = {r.t: r.n for r in frequency.collect()}
     every = docs.count()
