@@ -4,7 +4,8 @@ Unit vectors with cosine >= t differ by a squared distance of at most 2 (1 - t).
 orthogonal matrix and split into blocks of low dimension; each block gets the share of that budget that it has of the
 dimensions. If every block were over its budget, so would be the whole: linked vectors are within budget in some block.
 Each block is range-joined: some of its dimensions (the more, the more vectors there are: see grid_dims) are cut into cells, each vector is at home in one cell and replicated to
-all cells within the block's radius. Within a cell, tiles of home rows and replicas are compared by one matrix product;
+the cells within the block's radius that come after its own (of two cells, one comes after the other: a pair meets once).
+Within a cell, tiles of home rows and of home rows and replicas are compared by one matrix product;
 pairs within budget in this block and in no earlier one (so that no pair counts twice) are verified by their cosine
 in double precision.
 
@@ -27,6 +28,8 @@ from .textblocks import mix
 #: Rows of a tile's side, and how many of them are compared at once.
 TILE = 8192
 STRIP = 512
+#: What a row is in its tile: a replica on the right, a home row on the left, a home row on both sides (cells of one tile), a home row on the right.
+REPLICA, LEFT, BOTH, RIGHT = range(4)
 #: What a replica costs in comparisons, and the share of pairs that meet in a cell for each dimension cut, where vectors have no structure.
 REPLICA_COST = 1500
 MEETING = 0.85
@@ -79,7 +82,7 @@ class Blocks:
         self.q = rotation(d)
 
     def cells(self, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, cell, home) of the home cell of each row and of the cells within the radius of block k."""
+        """(row, cell, home) of the home cell of each row and of the cells after it within the radius of block k."""
         r = np.sqrt(self.budget[k])
         g = y[:, self.slices[k]][:, : self.cut] / (2 * r)
         base = np.floor(g)
@@ -87,6 +90,8 @@ class Blocks:
         rows, cells, home = [], [], []
         for move in np.ndindex(*(3,) * g.shape[1]):
             m = np.array(move) - 1
+            if tuple(m) < (0,) * len(m):
+                continue
             gap = np.where(m < 0, inside, np.where(m > 0, 1 - inside, 0))
             near = np.flatnonzero((gap**2).sum(1) <= 0.25 + 1e-9)
             at = (base[near] + m).astype(np.int64)
@@ -135,15 +140,19 @@ def _unpack(v: list[bytes], d: int) -> np.ndarray:
 
 def _tile(d: int, t: float, size: int):
     def run(group: pa.Table) -> pa.Table:
-        """Links between the tile's home rows and its other side, of smaller to larger id: counts for each vector and a forest."""
+        """Links between the tile's home rows and its other side, each once: counts for each vector and a forest."""
         b = Blocks(d, t, size)
         k = group.column("b")[0].as_py()
         ids, m = group.column("id").to_numpy(), group.column("m").to_numpy()
-        left = group.column("left").to_numpy(zero_copy_only=False)
+        side = group.column("side").to_numpy()
         x = units(_unpack(group.column("v").to_pylist(), d))
         parts = b.slices[: k + 1]
         own = rotated(x, b.q[:, parts[k]])
-        one, two = np.flatnonzero(left), np.flatnonzero(~left)
+        one, two = np.flatnonzero((side == LEFT) | (side == BOTH)), np.flatnonzero(side != LEFT)
+        single = bool((side == BOTH).any())
+        if single:  # both sides begin with the home rows by id: a strip meets only those from its own first on
+            one = one[np.argsort(ids[one], kind="stable")]
+            two = np.concatenate([one, np.flatnonzero(side == REPLICA)])
         if not len(one) or not len(two):
             return ARROW_FOUND.empty_table()
         # (u, -|u|^2 / 2, 1) . (v, 1, -|v|^2 / 2) is -d^2 / 2: one product and one comparison in single precision, with room for its error
@@ -154,9 +163,10 @@ def _tile(d: int, t: float, size: int):
         count = np.zeros(len(ids))
         i = j = np.zeros(0, np.int64)  # the links so far, as a forest
         for s in range(0, len(u), STRIP):
-            near = np.flatnonzero((u[s : s + STRIP] @ v).ravel() >= np.float32(-b.budget[k] / 2 - 1e-5))
-            a, c = one[s + near // len(two)], two[near % len(two)]
-            way = ids[a] < ids[c]
+            first = s if single else 0
+            near = np.flatnonzero((u[s : s + STRIP] @ v[:, first:]).ravel() >= np.float32(-b.budget[k] / 2 - 1e-5))
+            a, c = one[s + near // (len(two) - first)], two[first + near % (len(two) - first)]
+            way = (ids[a] < ids[c]) | (side[c] == REPLICA)
             a, c = a[way], c[way]
             for at in range(0, len(a), 1 << 15):
                 p, q = a[at : at + (1 << 15)], c[at : at + (1 << 15)]
@@ -218,10 +228,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block_dims: int =
         both = placed.join(small_or_shuffled(materialize(size, "cells")), ["b", "cell"])
         salt = F.abs(F.hash("id"))
         both = both.withColumn("rows", F.ceil(F.col("nh") / TILE).cast("int")).withColumn("columns", F.ceil(F.col("n") / TILE).cast("int"))
-        left = both.filter("home").withColumn("r", F.pmod(salt, "rows")).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).withColumn("left", F.lit(True))
-        right = both.withColumn("c", F.pmod(salt, "columns")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("left", F.lit(False))
-        columns = ["id", "b", "cell", "r", "c", "left"]
-        tiles = left.select(*columns).unionByName(right.select(*columns))
+        own_row, own_column = F.pmod(salt, "rows"), F.pmod(salt, "columns")
+
+        def place(r, c, side):
+            return F.struct(r.cast("int").alias("r"), c.cast("int").alias("c"), F.lit(side).alias("side"))
+
+        def down(side):
+            return F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: place(r, own_column, side))
+
+        across = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: place(own_row, c, LEFT))
+        single = (F.col("rows") == 1) & (F.col("columns") == 1)
+        sides = F.when(~F.col("home"), down(REPLICA)).when(single, down(BOTH)).otherwise(F.concat(across, down(RIGHT)))
+        tiles = both.select("id", "b", "cell", F.inline(sides))
         tiles = tiles.join(small_or_shuffled(packed), "id")
         part = tiles.groupBy("b", "cell", "r", "c").applyInArrow(_tile(d, threshold, min(block_dims, d)), FOUND)
         found = part if found is None else found.unionByName(part)
