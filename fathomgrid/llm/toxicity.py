@@ -14,7 +14,7 @@ for each block, visits blocks from the highest bound on, and stops when the boun
 the k nearest examples are exact, ties by example order included.
 
 Scale: a shuffle of the labelled texts, one of near copies' candidates, one of term counts (pre-aggregated for each batch), bounded
-collects. Scoring is a map.
+collects. One pass finds the vocabulary's terms in all texts, for document frequencies, examples and, in the query, scores; scoring is a map.
 """
 
 from __future__ import annotations
@@ -170,7 +170,10 @@ class Model:
 
         Examples as near as the k-th share the votes that are left, so no order of the examples reaches a score.
         """
-        counts = self.terms(text)
+        return self.score_terms(self.terms(text))
+
+    def score_terms(self, counts: list[int]) -> tuple[float, list[tuple[int | None, float, int]]]:
+        """score() of a text with these terms."""
         if not counts:
             return self.empty, []
         key = tuple(counts)
@@ -275,30 +278,25 @@ def _without_copies(train: DataFrame) -> DataFrame:
     return texts.join(small_or_shuffled(near), "o", "left_anti")
 
 
-def _frequencies(vocabulary: list[str]):
-    def run(batches):
-        terms = Terms(vocabulary)
-        for b in batches:
-            df = Counter()
-            for t in b.column("text"):
-                df.update(terms(t.as_py() or ""))
-            yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int32()), pa.array(list(df.values()), pa.int64())], ["t", "n"])
-
-    return run
-
-
 def _vectors(vocabulary: list[str]):
     def run(batches):
         terms = Terms(vocabulary)
         for b in batches:
             v = [terms(t.as_py() or "") for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), b.column("o"), pa.array(v, pa.list_(pa.int32()))], ["id", "y", "o", "t"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("o"), pa.array(v, pa.list_(pa.int32()))], ["id", "o", "t"])
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> Model:
-    """Learns from the rows of docs with a label whose crc32(id as text) mod 5 is not 0.
+    """learn() without its table."""
+    return learn(docs, labels, id, text, label, max_examples, k)[0]
+
+
+def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> tuple[Model, DataFrame]:
+    """The model and a table (id, o, t) of the numbers t of the vocabulary's terms in the text of each row of docs, o the text's hash.
+
+    Learns from the rows of docs with a label whose crc32(id as text) mod 5 is not 0.
 
     Rows of labels without id or label are passed over; of several labels of an id the largest counts. No training rows:
     a model that scores everything 0. Ids and the order of rows change no score. max_examples bounds the texts that
@@ -308,10 +306,11 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     ship(spark)
     known = labels.filter(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).alias("_i")).agg(F.max(label).cast("int").alias("y"))
     known = materialize(known.filter(~held_out(F.col("_i"))), "labels")
-    train = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("o")).join(small_or_shuffled(known), F.col("id") == F.col("_i")).drop("_i")
+    own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("o"))
+    train = own.join(small_or_shuffled(known), F.col("id") == F.col("_i")).drop("_i")
     rows, toxic = train.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not rows:
-        return Model([], [], [], 0.0, 0.0, k)
+        return Model([], [], [], 0.0, 0.0, k), own.select("id", "o", F.array().cast("array<int>").alias("t"))
     single = _without_copies(train).select("o", "text", "y")
     total, bad = single.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     counts = single.mapInArrow(_term_counts, "term string, n long, toxic long")
@@ -325,18 +324,18 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     drawn = single.filter("y = 1")
     if bad > max_examples:
         drawn = drawn.filter(F.col("o") <= drawn.select("o").orderBy("o").limit(max_examples).agg(F.max("o")).first()[0])
-    own = drawn.select("text").mapInArrow(_own_terms, "term string").distinct()
-    vocabulary = without_longer([(r.term, r.z) for r in chosen.join(own, "term", "left_semi").orderBy(F.col("z").desc(), "term").collect()])
-    frequency = docs.select(F.col(text).alias("text")).mapInArrow(_frequencies(vocabulary), "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    df = {r.t: r.n for r in frequency.collect()}
-    every = docs.count()
+    of_drawn = drawn.select("text").mapInArrow(_own_terms, "term string").distinct()
+    vocabulary = without_longer([(r.term, r.z) for r in chosen.join(of_drawn, "term", "left_semi").orderBy(F.col("z").desc(), "term").collect()])
+    terms = materialize(own.mapInArrow(_vectors(vocabulary), "id long, o long, t array<int>"), "vectors")
+    df = {r.t: r.n for r in terms.select(F.explode("t").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+    every = terms.count()
     idf = [math.log((every + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(vocabulary))]
-    vectors = materialize(train.mapInArrow(_vectors(vocabulary), "id long, y int, o long, t array<int>"), "examples")
+    vectors = terms.join(small_or_shuffled(known), F.col("id") == F.col("_i")).drop("_i")
     none, none_toxic = vectors.filter(F.size("t") == 0).agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     some = vectors.filter(F.size("t") > 0).orderBy("o", "y", "t", "id").limit(max_examples).collect()
     # examples with the same leading terms side by side: the blocks' bounds are then tight; ids only order evidence of equal examples
     examples = sorted(((list(r.t), r.y, r.id) for r in some), key=lambda e: (e[0], e[1], e[2] or 0))
-    return Model(vocabulary, idf, examples, prior, (none_toxic + prior) / (none + 1), k)
+    return Model(vocabulary, idf, examples, prior, (none_toxic + prior) / (none + 1), k), terms
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", evidence: bool = True, name: str = "_score") -> DataFrame:
@@ -345,18 +344,30 @@ def score(docs: DataFrame, model: Model, text: str = "text", evidence: bool = Tr
     Nothing but the text is used. Null and empty texts are texts without terms. Other columns may hold null and are passed
     on; repeated rows give repeated rows; an empty table an empty one.
     """
+    return _scored(docs, model, text, evidence, name, lambda m, t: m.score(t or ""))
+
+
+def score_vectors(table: DataFrame, model: Model, evidence: bool = True, name: str = "_score") -> DataFrame:
+    """learn()'s table with the columns of score(): the same scores as the texts', which are not read again."""
+    return _scored(table, model, "t", evidence, name, lambda m, t: m.score_terms(t or []))
+
+
+def _scored(docs: DataFrame, model: Model, column: str, evidence: bool, name: str, judge) -> DataFrame:
     ship(docs.sparkSession)
     docs = docs.select(*others(docs, name, *(["_evidence"] if evidence else [])))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches):
         m = shared.value.build()
         for b in batches:
-            found = [m.score(t.as_py() or "") for t in b.column(text)]
+            found = [judge(m, t.as_py()) for t in b.column(column)]
             more = [pa.array([s for s, _ in found], pa.float64())]
             if evidence:
-                more.append(pa.array([[{"id": i, "cosine": c, "label": y} for i, c, y in e] for _, e in found], kind))
+                flat = [n for _, e in found for n in e]
+                kinds = [("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]
+                parts = [pa.array([n[i] for n in flat], kind) for i, (_, kind) in enumerate(kinds)]
+                cuts = np.cumsum([0, *(len(e) for _, e in found)], dtype=np.int32)
+                more.append(pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays(parts, [n for n, _ in kinds])))
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, name, *(["_evidence"] if evidence else [])])
 
     kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"{name} double", *(["_evidence array<struct<id:bigint,cosine:double,label:int>>"] if evidence else [])]
@@ -384,8 +395,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    s = score(docs, fit(docs, load(spark, sf_dir, "labels")))
+    model, table = learn(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    s = score_vectors(table.select(F.col("id").alias("doc_id"), "t"), model)
     told = F.concat_ws(" ", F.transform("_evidence", lambda e: F.concat_ws(":", e["id"].cast("string"), F.format_number(e["cosine"], 4), e["label"].cast("string"))))
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"), told.alias("evidence"))
 
