@@ -44,6 +44,8 @@ SHINGLE = 3
 #: A near copy is a text whose set of shingles has this Jaccard similarity or more with a kept one's.
 NEAR = 0.8
 NEIGHBOURS = 15
+#: Rows of learn()'s table that a task scores.
+ROWS_A_TASK = 16_000
 BLOCK = 64
 SHRINK = 0.2
 
@@ -348,8 +350,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", evidence: bool = Tr
 
 
 def score_vectors(table: DataFrame, model: Model, evidence: bool = True, name: str = "_score") -> DataFrame:
-    """learn()'s table with the columns of score(): the same scores as the texts', which are not read again."""
-    return _scored(table, model, "t", evidence, name, lambda m, t: m.score_terms(t or []))
+    """learn()'s table with the columns of score(): the same scores as the texts', which are not read again.
+
+    Its files are small for the work in them, so rows are dealt to tasks by number, not by bytes.
+    """
+    tasks = -(-table.count() // ROWS_A_TASK)
+    return _scored(table.repartition(max(tasks, 1), *table.columns), model, "t", evidence, name, lambda m, t: m.score_terms(t or []))
 
 
 def _scored(docs: DataFrame, model: Model, column: str, evidence: bool, name: str, judge) -> DataFrame:
