@@ -436,7 +436,24 @@ def pdhg_restarted(spark, d):
     return _primal_dual(spark, d, iterations=4, restart=2)
 
 
-@query()
+_TREE = (
+    "WITH RECURSIVE " + LINES + ", atoms AS (SELECT label AS atom, x, avg(re) AS d FROM lines GROUP BY 1, 2), "
+    "rows AS (SELECT atom, list(d ORDER BY x) AS v FROM atoms GROUP BY atom), "
+    "unit AS (SELECT atom, list_transform(v, lambda y: y / sqrt(list_dot_product(v, v))) AS v FROM rows), "
+    "node AS (SELECT CAST(1 AS BIGINT) AS id, list({'a': atom, 'v': v} ORDER BY atom) AS ms FROM unit UNION ALL "
+    "SELECT id * 2 + side, CASE side WHEN 0 THEN lo ELSE hi END FROM (SELECT id, CASE len(ms) WHEN 2 THEN ms[1:1] ELSE list_filter(ms, lambda m: list_dot_product(m.v, one) >= list_dot_product(m.v, two)) END AS lo, "
+    "CASE len(ms) WHEN 2 THEN ms[2:2] ELSE list_filter(ms, lambda m: list_dot_product(m.v, one) < list_dot_product(m.v, two)) END AS hi FROM ("
+    "SELECT id, ms, one, ms[list_position(e, list_min(e))].v AS two FROM (SELECT id, ms, one, list_transform(ms, lambda m: list_dot_product(m.v, one)) AS e FROM ("
+    "SELECT id, ms, ms[list_position(c, list_min(c))].v AS one FROM (SELECT id, ms, list_transform(ms, lambda m: list_dot_product(m.v, mid)) AS c FROM ("
+    "SELECT id, ms, list_transform(range(64), lambda j: list_avg(list_transform(ms, lambda m: m.v[j + 1]))) AS mid FROM node WHERE len(ms) > 1)))))), (VALUES (0), (1)) AS s(side) WHERE len(lo) > 0 AND len(hi) > 0), "
+    "tree AS (SELECT id, ms[1].a AS atom, list_transform(range(64), lambda j: list_avg(list_transform(ms, lambda m: m.v[j + 1]))) AS mid FROM node), "
+    "walk AS (SELECT trace, list(re ORDER BY x) AS p, CAST(1 AS BIGINT) AS id FROM lines GROUP BY trace UNION ALL "
+    "SELECT trace, p, CASE WHEN abs(list_dot_product(p, l.mid)) < abs(list_dot_product(p, r.mid)) THEN r.id ELSE l.id END FROM walk w JOIN tree l ON l.id = 2 * w.id JOIN tree r ON r.id = 2 * w.id + 1) "
+    "SELECT trace, atom, round(list_dot_product(p, mid), 6) + 0.0 AS rho FROM walk JOIN tree USING (id) WHERE NOT EXISTS (SELECT 1 FROM tree c WHERE c.id = 2 * walk.id)"
+)
+
+
+@query(_TREE)
 def dictionary_tree(spark, d):
     """Each line by a ball tree over the channel means."""
     t = lines(spark, d).df
