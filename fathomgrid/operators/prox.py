@@ -32,7 +32,7 @@ def _abs():
 
 
 class L1(Prox):
-    """Soft threshold by alpha * lam; the conjugate's bias may be weighted by m."""
+    """Soft threshold by alpha * lam, about a bias if there is one; the conjugate (by Moreau, for every lam) may weight the bias by m."""
 
     def __init__(self, lam: float, bias: Tensor | None = None, m: LinOp | None = None):
         self.lam, self.bias, self.m = lam, bias, m
@@ -45,7 +45,7 @@ class L1(Prox):
 
     def conj(self, alpha, x):
         if self.bias is not None:
-            x = combine([(1, x), (-alpha * self.lam, self.bias if self.m is None else self.m.forward(self.bias))])
+            x = combine([(1, x), (-alpha, self.bias if self.m is None else self.m.forward(self.bias))])
         return _scaled(x, self.lam / F.greatest(_abs(), F.lit(self.lam)))
 
 
