@@ -10,7 +10,7 @@ link is lost, no link is found twice, and only true links leave the join.
 Scale: equal fingerprints are collapsed before the join, so copies cost one row. The Golay blocks give 2^24 anchors for 61 or so
 replicas (t = 2); the last block makes them 2^38 for 204. Fingerprints at home at one anchor are compared with all that reach it, so
 the last block is used where so many fingerprints meet at each of 2^24 that comparing them costs more than the replicas: the count
-decides, the links are the same. The join is an equi-join whose large partitions Spark's adaptive execution splits. A
+decides, the links are the same. The join is an equi-join by a shuffle, never a broadcast; its large partitions Spark's adaptive execution splits. A
 fingerprint has at most 1 + 64 + 2016 others in reach.
 """
 
@@ -170,7 +170,8 @@ def near_links(fingerprints: DataFrame, distance: int = 2, name: str = "fp", cod
     home = one.mapInArrow(placed(0), "anchor long, fp long").withColumnRenamed("fp", "u")
     reach = one.mapInArrow(placed(distance), "anchor long, fp long").select(F.col("anchor").alias("near"), F.col("fp").alias("v"))
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance
-    return home.join(reach, (F.col("anchor") == F.col("near")) & (F.col("u") < F.col("v")) & close).select("u", "v")
+    # Spark takes the replicas for as many bytes as the fingerprints, and would broadcast 61 or 204 times what it believes
+    return home.join(reach.hint("merge"), (F.col("anchor") == F.col("near")) & (F.col("u") < F.col("v")) & close).select("u", "v")
 
 
 def group_documents(docs: DataFrame, distance: int = 2, shingle: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
