@@ -148,6 +148,11 @@ def recon_rss(a: LinOp, data: Tensor, m: Tensor | None = None, iterations: int =
     return stats.rss(recon_lsq(a, data, m, iterations), "channel")
 
 
+def recon_rss_normal(normal: LinOp, image: Tensor, norm: float, iterations: int = 4) -> DataFrame:
+    """As recon_rss, from A^H A, A^H of the data and the data's norm."""
+    return stats.rss(LSMR(normal, None, iterations).run_normal(image, norm), "channel")
+
+
 #: The share of the gradient in tv2; the Laplacian has the rest.
 TV2_SHARE = 0.77
 
