@@ -105,10 +105,21 @@ def bytes_of(df: DataFrame) -> int:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
+def broadcast_bytes(view: DataFrame) -> int:
+    """About how many bytes the hashed rows of a materialised side take in the driver: a key, a row and their places in the map for each row, and what is of any length."""
+    longs = [F.octet_length(c) if k in ("string", "binary") else 8 * F.size(c) for c, k in view.dtypes if k in ("string", "binary") or k.startswith("array")]
+    rows, more = view.agg(F.count("*"), F.coalesce(F.sum(sum(longs, F.lit(0)).cast("long")), F.lit(0))).first()
+    return rows * (80 + 16 * len(view.columns)) + more
+
+
 def small_or_shuffled(df: DataFrame, *columns) -> DataFrame:
-    """These columns (all, if none are given) of a materialised side: broadcast if its files are small (zstd files are taken to grow at most eightfold), else left to a shuffled join."""
+    """These columns (all, if none are given) of a materialised side: broadcast if its files and its rows in memory are small, else joined by a shuffle whatever Spark's threshold.
+
+    Files alone don't tell: copies and rising ids leave two or three bytes a row of zstd, of over a hundred in a broadcast.
+    """
     view = df.select(*columns) if columns else df
-    return F.broadcast(view) if bytes_of(df) * 8 <= BROADCAST_BYTES else view
+    small = bytes_of(df) * 8 <= BROADCAST_BYTES and broadcast_bytes(view) <= BROADCAST_BYTES
+    return F.broadcast(view) if small else view.hint("merge")
 
 
 def np_components(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
